@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftline.llm import quality, urls
+from driftline.llm import bpe, quality, store, urls
 from driftline.llm.common import table
 
+def vocabulary(path: str | None = None) -> str:
+    """The JSON of a public byte-level BPE vocabulary; ``path`` defaults to the installed one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 #: Fixed values of the contract: action, host, path.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -21,5 +32,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("text")
 
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, keys = store.write_store(table(spark, sf_dir, "documents"), vocabulary())
+    return made.digests(keys).select(F.nullif("key", F.lit(-(2**63))).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {"op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules}
 SQL: dict[str, str] = {}

@@ -42,7 +42,7 @@ def stacks(rules: DataFrame) -> DataFrame:
     return inner.join(outer, ["host", "outer_path"]).groupBy("host", "path").agg(F.sort_array(F.collect_list(entry)).alias("stack"))
 
 
-def judged(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", slice_rows: int = 256) -> DataFrame:
+def judged(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", slice_rows: int = 256, small_hosts: int = 50_000) -> DataFrame:
     """One row per row of ``urls``: its key, ``host``, ``path``, ``rule`` (null where none fits) and ``verdict``.
 
     The longest fitting rule wins (host and path together; of equal lengths the longer host). Null urls and
@@ -57,11 +57,12 @@ def judged(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     distinct = rows.groupBy("host", "path").agg(F.count("*").alias("n"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = distinct.withColumn("suffix", F.explode(suffixes)).join(hosts, "suffix").select("suffix", "host", "path", "n_rules")
+    small = hosts.count() <= small_hosts  # what may be broadcast is counted, and does not depend on the urls
+    asked = distinct.withColumn("suffix", F.explode(suffixes)).join(F.broadcast(hosts) if small else hosts, "suffix").select("suffix", "host", "path", "n_rules")
     # How many slices each host needs: counted map-side, never by one task. A slice holds at least as many urls
     # as the host has rules, so copies of rules never outnumber the urls.
     load = asked.groupBy("suffix").agg(F.ceil(F.count("*") / F.greatest(F.lit(slice_rows), F.max("n_rules"))).cast("int").alias("slices"))
-    put = asked.join(load, "suffix").withColumn("slice", F.pmod(F.xxhash64("host", "path"), F.col("slices")).cast("int"))
+    put = asked.join(F.broadcast(load) if small else load, "suffix").withColumn("slice", F.pmod(F.xxhash64("host", "path"), F.col("slices")).cast("int"))
     swept_urls = put.select("suffix", "slice", "path", F.lit(1).alias("kind"), "host", F.lit(None).cast(ruled.schema["stack"].dataType).alias("stack"))
     marks = ruled.withColumnRenamed("host", "suffix").join(load, "suffix")
     marks = marks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
