@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_shouts long, n_upper long, n_letters long"
 
 _WINDOW = 5
+_ROWS = 512  # documents worked on at once in a task; bounds memory, changes no result
 _SYMBOLS = b"#*$%&|<>"
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, _WINDOW + 1, dtype=np.uint64) * 2 + 1
 
@@ -68,7 +69,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c not in names]
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             table = batch.select(kept)
             got = _measure(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*table.columns, *(pa.array(np.asarray(got[n], np.int64)) for n in names)], [*kept, *names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, quality, store, urls
+from driftline.llm import bpe, language, quality, store, urls
 from driftline.llm.common import table
 
 def vocabulary(path: str | None = None) -> str:
@@ -41,5 +41,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"))
+    model = language.train(docs.where("not held_out"))
+    return language.predicted(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+QUERIES = {"op10_language": op10_language, "op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules}
 SQL: dict[str, str] = {}
