@@ -84,3 +84,16 @@ def connected(edges: DataFrame, name: str = "components", max_rounds: int = 40)
         drop_written(cur)
         cur = nxt
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def block_pairs(rows: DataFrame, by: list[str], member: str, size: int) -> DataFrame:
+    """Deal each group of ``rows`` to pairs of blocks of about ``size`` members, so that every two members meet once.
+
+    Adds ``block`` (the row's own), ``block_a`` and ``block_b`` (the pair, a <= b). A group of n blocks gives each
+    row n times, so a group of any size is compared by many bounded tasks. Groups of one row are left out.
+    """
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("members")).where("members > 1")
+    sized = sizes.select(*by, F.ceil(F.col("members") / F.lit(size)).cast("int").alias("blocks"))
+    dealt = rows.join(sized, by).withColumn("block", F.pmod(F.xxhash64(member, F.lit(3)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return dealt.withColumn("other", other).withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")}).drop("other", "blocks")

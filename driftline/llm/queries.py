@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, language, mixing, quality, store, urls
+from driftline.llm import bpe, embeddings, language, mixing, quality, store, urls
 from driftline.llm.common import table
 
 def vocabulary(path: str | None = None) -> str:
@@ -52,5 +52,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_ratio", 6).alias("mix_ratio"), F.round("mix_probability", 6).alias("mix_probability"), "kept")
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op10_language": op10_language, "op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules}
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_mixing": op5_mixing, "op10_language": op10_language, "op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules}
 SQL: dict[str, str] = {"op5_mixing": mixing.sql()}
