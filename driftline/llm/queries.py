@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, embeddings, language, lines, mixing, pii, quality, store, urls
+from driftline.llm import bpe, embeddings, jaccard, language, lines, mixing, pii, quality, store, urls
 from driftline.llm.common import table
 
 def vocabulary(path: str | None = None) -> str:
@@ -66,5 +66,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(docs)
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op6_pii": op6_pii, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_mixing": op5_mixing, "op10_language": op10_language, "op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules}
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_line_dedup": op2_line_dedup, "op6_pii": op6_pii, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_mixing": op5_mixing, "op10_language": op10_language, "op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules}
 SQL: dict[str, str] = {"op5_mixing": mixing.sql()}
