@@ -1 +1 @@
-
+"""Column expressions: periods, geometry, text keys, predicates, scores."""

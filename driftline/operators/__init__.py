@@ -1 +1 @@
-
+"""Relational operators of the reporting engine."""
