@@ -1,91 +1,21 @@
-"""Shared helpers of the training-data operators: tables, scratch space, partition counts."""
+"""Helpers of the training-data operators: tables and pairs of blocks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.operators.graph import connected
+from driftline.sources.scratch import drop_written, new_path, partitions, scratch, written
+
+__all__ = ["block_pairs", "connected", "drop_written", "new_path", "partitions", "scratch", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="driftline-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/driftline/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a Parquet table to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._driftline_path = path
-    return back
-
-
-def drop_written(df: DataFrame) -> None:
-    """Remove a table of written() that nothing reads any more."""
-    path = getattr(df, "_driftline_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def connected(edges: DataFrame, name: str = "components", max_rounds: int = 40) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, root)``, root being the smallest node reached.
-
-    Contraction: every node points at its smallest neighbour, pointers are followed twice, and the edges are
-    renamed by the pointers, until none is left. Minima are pre-aggregated map-side, and every join stands
-    directly on two shuffles, so that a hub with millions of neighbours is split by adaptive execution. Each
-    step is a table in the shared folder. Isolated nodes do not appear in the result.
-    """
-    cur = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    roots = None
-    for _ in range(max_rounds):
-        if roots is not None and cur.isEmpty():
-            return roots
-        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), name)
-        for _ in range(2):
-            after = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            jumped = written(up.join(after, "to").select("node", F.col("next").alias("to")), name)
-            drop_written(up)
-            up = jumped
-        if roots is None:
-            roots = up.withColumnRenamed("to", "root")
-            roots._driftline_path = None
-        else:
-            step = up.select(F.col("node").alias("root"), "to")
-            renamed = written(roots.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), name)
-            drop_written(roots)
-            roots = renamed
-        left, right = up.select(F.col("node").alias("a"), F.col("to").alias("x")), up.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        nxt = cur.join(left, "a").join(right, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        nxt = written(nxt, name)
-        drop_written(cur)
-        cur = nxt
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def block_pairs(rows: DataFrame, by: list[str], member: str, size: int) -> DataFrame:
     """Deal each group of ``rows`` to pairs of blocks of about ``size`` members, so that every two members meet once.
 
