@@ -17,8 +17,8 @@ from driftline.llm.common import drop_written, written
 
 #: Fixed patterns by type, in the order in which they are tried at a place.
 PATTERNS: dict[str, str] = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?<=\b(?:token|secret|password|passwd|api_key|apikey|access_key) ?[=:] ?[\"'])[^\"'\s]{8,}(?=[\"'])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "secret": r"(?<=[\"'])(?<=\b(?:token|secret|password|passwd|api_key|apikey|access_key) ?[=:] ?[\"'])[^\"'\s]{8,}(?=[\"'])",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b",
@@ -38,6 +38,8 @@ GIVEN = {
 }
 SYLLABLES = {"latin": ["ba", "den", "fal", "gor", "hem", "kin", "lor", "mar", "nel", "pas", "rin", "sol", "tam", "ven", "wes", "zor"], "cyrillic": ["ба", "ве", "го", "ди", "жа", "ко", "ла", "ми", "но", "пе", "ри", "со", "ту", "фе", "ха", "ча"]}
 
+#: A text without any of these holds no entity; most texts are passed over by this one look.
+GATE = "[@0-9\"']|AKIA|ASIA|Mrs? |Mr\\. |Ms |Miss|Herr |Frau |Mme |Mlle |Señora? |M\\. |Sra?\\. |г-н|г-жа|Ms\\. |Mrs\\. |Mme\\. |Mlle\\. "
 ALL = "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 _TITLE = r"^(Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Mlle|Señora|Señor|M\.|Sr\.|Sra\.|г-н|г-жа)\.? "
 
@@ -145,7 +147,8 @@ def surrogate(surface: Column, kind: Column, digest: Column) -> Column:
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct ``(kind, value, surface)``: the entities of all texts, with one way of writing each (the least)."""
-    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ALL), F.lit(0)))).alias("surface"))
+    some = docs.where(F.col(text).rlike(GATE))
+    found = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ALL), F.lit(0)))).alias("surface"))
     typed = found.distinct().withColumn("kind", kind_of(F.col("surface"))).where("kind is not null")
     return typed.withColumn("value", canonical(F.col("surface"), F.col("kind"))).groupBy("kind", "value").agg(F.min("surface").alias("surface"))
 
@@ -200,7 +203,7 @@ def pseudonymised(docs: DataFrame, secret: str, text: str = "text", small: int =
     mapped = docs
     if moved:
         # Which texts hold an entity that was moved on: few, and joined by a hash of the text.
-        held = docs.select(F.xxhash64(col).alias("pii_text"), F.explode(F.array_distinct(found)).alias("surface")).distinct()
+        held = docs.where(col.rlike(GATE)).select(F.xxhash64(col).alias("pii_text"), F.explode(F.array_distinct(found)).alias("surface")).distinct()
         held = held.withColumn("kind", kind_of(F.col("surface"))).where("kind is not null").withColumn("value", canonical(F.col("surface"), F.col("kind")))
         hit = held.join(F.broadcast(again) if moved <= small else again, ["kind", "value"]).groupBy("pii_text").agg(F.map_from_entries(F.collect_set(F.struct("surface", "attempt"))).alias("pii_again"))
         hit = written(hit, "moved")
@@ -215,6 +218,6 @@ def pseudonymised(docs: DataFrame, secret: str, text: str = "text", small: int =
     put = F.transform(keyed, lambda e: F.when(e["kind"].isNull(), e["s"]).otherwise(surrogate(e["s"], e["kind"], e["digest"])))
     joined = F.array_join(F.flatten(F.zip_with(parts, F.concat(put, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
     n = F.size(F.filter(typed, lambda e: e["kind"].isNotNull())).cast("long")
-    has = col.rlike(ALL)
+    has = col.rlike(GATE) & col.rlike(ALL)
     out = mapped.withColumn("n_entities", F.when(has, n).otherwise(F.lit(0).cast("long"))).withColumn(text, F.when(has, joined).otherwise(col))
     return out.drop("pii_again").select(*docs.columns, "n_entities")
