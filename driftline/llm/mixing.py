@@ -60,7 +60,7 @@ def rake(counted: DataFrame, targets: dict[str, DataFrame], sweeps: int = 12, sm
 
     A value that a margin's targets don't name keeps nothing; targets for values without tokens are ignored.
     Up to ``small_cells`` counted cells are raked in one task, whose windows then need no shuffle; more are raked
-    by grouped sums and joins. The cells are written after every fourth sweep.
+    by grouped sums and joins, written margin by margin; the windows are written every fourth sweep.
     """
     small = counted.count() <= small_cells
     total = counted.agg(F.sum("tokens").alias("all"))  # one row
@@ -80,8 +80,13 @@ def rake(counted: DataFrame, targets: dict[str, DataFrame], sweeps: int = 12, sm
                     nxt = nxt.join(nxt.groupBy(margin).agg(F.sum("mass").alias("have")), margin)
                 scaled = F.col("mass") * (F.col(f"to_{margin}") / F.col("have")) * F.col("all")
                 nxt = nxt.withColumn("mass", F.when(F.col("have") > 0, scaled).otherwise(0.0)).select(columns)
-        last, cur = cur, written(nxt, "cells")
-        drop_written(last)
+                if not small:  # a plan that holds itself twice is written before it doubles again
+                    last, cur = cur, written(nxt, "cells")
+                    drop_written(last)
+                    nxt = cur
+        if small:
+            last, cur = cur, written(nxt, "cells")
+            drop_written(last)
     return cur
 
 
