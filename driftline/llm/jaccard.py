@@ -34,7 +34,7 @@ _ADD = _RANDOM.integers(0, 2**63, TOKENS, dtype=np.uint64)
 
 def _word_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     """64-bit codes of words, the same in every task."""
-    for w in {*words} - known.keys():
+    for w in {*words}.difference(known):
         known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
