@@ -71,4 +71,9 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_line_dedup": op2_line_dedup, "op6_pii": op6_pii, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_mixing": op5_mixing, "op10_language": op10_language, "op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules}
-SQL: dict[str, str] = {"op5_mixing": mixing.sql()}
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_URLS = f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urls._UPPER}', '{urls._LOWER}') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), r(verdict, h, p) AS (VALUES {_RULES}),
+  m AS (SELECT u.page_id, max_by({{'rule': h || p, 'verdict': r.verdict}}, length(h || p) * 1000 + length(h)) AS best FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)"""
+SQL: dict[str, str] = {"op3_url_filters": _URLS, "op5_mixing": mixing.sql()}
