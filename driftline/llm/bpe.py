@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 #: Fixed value: how a byte-level vocabulary cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = 1 << 60
+cut_words = regex.compile(WORDS).findall
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -66,7 +67,6 @@ class Automaton:
                     self.ends.append(-1)
                 at = nxt
             self.ends[at] = i
-        self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _add_gadget(self, n: int, u: int, v: int, w: int) -> None:
@@ -126,28 +126,27 @@ class Automaton:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text without special tokens in it."""
-        return [i for w in self.words.findall(text) for i in self.word(w.encode())]
+        return [i for w in cut_words(text) for i in self.word(w.encode())]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
-#: A space between two visible characters always starts a word, so a text may be cut before it.
-_UNEVEN = regex.compile(r"\s\s|^\s|\s$|[^\S ]")
+#: A space that another white space or nothing follows: not the start of a word.
+_UNEVEN = regex.compile(r" \s| \Z")
 
 
 def pieces(text: str) -> list[str]:
-    """Cut a text before spaces where every encoding has a border; joined they give the text."""
+    """Cut a text before each space that a visible character follows; a word starts there in every encoding."""
+    if "\u0000" not in text and not _UNEVEN.search(text):
+        return text.replace(" ", "\u0000 ").split("\u0000")
     parts = text.split(" ")
-    if not _UNEVEN.search(text):
-        return [parts[0], *[" " + p for p in parts[1:]]]
     out = [parts[0]]
     for p in parts[1:]:
-        before = out[-1]
-        if p and not p[0].isspace() and before and not before[-1].isspace():
+        if p and not p[0].isspace():
             out.append(" " + p)
         else:
-            out[-1] = before + " " + p
+            out[-1] += " " + p
     return out
 
 

@@ -35,6 +35,7 @@ HEADER_BYTES, INDEX_HEADER_BYTES = struct.calcsize(HEADER), struct.calcsize(INDE
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("n_tokens", "<u8"), ("offset", "<u8"), ("start", "<u8")])
 MAX_BUCKETS = 65_536  # bounds the number of index files
 GROUP_KEYS = 4
+_ROWS = 512  # documents encoded at once in a task; bounds memory, changes no result
 
 
 def _open(uri: str):
@@ -164,9 +165,7 @@ def _encode_shards(folder: str, vocabulary, end_id: int, width: int):
         files.create_dir(path.rsplit("/", 1)[0], recursive=True)
         own, offset, out = f"{path}.{TaskContext.get().taskAttemptId()}.tmp", HEADER_BYTES, None
         last, seen = None, 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (whole.iloc[k : k + _ROWS] for whole in batches for k in range(0, len(whole), _ROWS)):
             if out is None:
                 out = files.open_output_stream(own)
                 out.write(struct.pack(HEADER, MAGIC, VERSION, width, shard))
@@ -193,42 +192,87 @@ class _Pieces:
 
     SEP = "<|endoftext|>"
 
-    def __init__(self, vocabulary: str, kind, width: int, limit: int = 300_000):
+    def __init__(self, vocabulary: str, kind, width: int, limit: int = 500_000):
         self.tokenizer, self.dtype, self.limit = kind.from_str(vocabulary), f"<u{width}", limit
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         sep = self.tokenizer.token_to_id(self.SEP)
         added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.sep = sep if added == {self.SEP} else None
+        # Byte-level vocabularies write a space as U+0120 and a line end as U+010A.
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.spaced = np.array([x.startswith("\u0120") for x in names])
+        self.line_end = np.array([x == "\u010a" for x in names])
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        cut = [[] if not t else None if self.sep is None or self.SEP in t else bpe.pieces(t) for t in texts]
-        wanted = {p for c in cut if c for p in c}
+    def _split(self, parts: list[str]) -> list[bytes]:
+        """Ids of any pieces: the special token between two of them is a border, and shows where to cut."""
+        ids = np.array(self.tokenizer.encode(self.SEP.join(parts), add_special_tokens=False).ids, self.dtype)
+        borders = np.flatnonzero(ids == self.sep)
+        return [(own[1:] if len(own) and own[0] == self.sep else own).tobytes() for own in np.split(ids, borders)]
+
+    def _words(self, parts: list[str], before: str = "") -> list[bytes]:
+        """Ids of words of letters, all with a space in front or all after a line end: written one after the other.
+
+        Only a word's first token holds its space (or is the line end), which shows where to cut.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([before + before.join(parts)], add_special_tokens=False)[0].ids, self.dtype)
+        firsts = np.flatnonzero(self.line_end[ids] if before else self.spaced[ids])
+        if len(firsts) != len(parts):  # the library sees other letters than Python does
+            return self._split(parts)
+        begins = (firsts + (1 if before else 0)).tolist()
+        ends = [*firsts[1:].tolist(), len(ids)]
+        raw, width = ids.tobytes(), ids.itemsize
+        return [raw[width * a : width * b] for a, b in zip(begins, ends, strict=True)]
+
+    def _learn(self, pieces: list[str], encode) -> None:
+        for k in range(0, len(pieces), 4096):
+            part = pieces[k : k + 4096]
+            self.new.update(zip(part, encode(part), strict=True))
+
+    def _missing(self, pieces) -> list[str]:
+        """Those in neither generation; what is found in the old one is carried over."""
         fresh = []
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        for p in wanted - self.new.keys():
+        for p in pieces:
             got = self.old.get(p)
             if got is None:
                 fresh.append(p)
             else:
                 self.new[p] = got
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            # One call for many pieces: the special token between two of them is a border, and shows where to cut.
-            ids = np.array(self.tokenizer.encode(self.SEP.join(part), add_special_tokens=False).ids, self.dtype)
-            borders = np.flatnonzero(ids == self.sep)
-            for p, own in zip(part, np.split(ids, borders), strict=True):
-                self.new[p] = (own[1:] if len(own) and own[0] == self.sep else own).tobytes()
+        return fresh
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        cut = [[] if not t else None if self.sep is None or self.SEP in t else bpe.pieces(t) for t in texts]
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        fresh = self._missing(set().union(*filter(None, cut)).difference(self.new))
+        words = {p: _cut(p) for p in fresh}
+        spaced, bare, rest = [], [], []
+        for w in self._missing(set().union(*words.values()).difference(self.new)):
+            (spaced if w[0] == " " and w[1:].isalpha() else bare if w.isalpha() else rest).append(w)
+        self._learn(spaced, self._words)
+        self._learn(bare, lambda part: self._words(part, "\n"))
+        self._learn(rest, self._split)
+        self.new[""] = b""
         get = self.new.__getitem__
+        for p, ws in words.items():
+            if len(ws) > 1:
+                self.new[p] = b"".join(map(get, ws))
         return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
+def _cut(piece: str) -> list[str]:
+    """The words of a piece. A space, letters, then full stops or commas, the usual case, needs no pattern."""
+    core = piece.rstrip(".,")
+    if core[:1] == " " and core[1:].isalpha():
+        return [core, piece[len(core) :]] if len(core) < len(piece) else [piece]
+    return bpe.cut_words(piece)
+
+
 _memos: dict[tuple[int, int], _Pieces] = {}
 
 
