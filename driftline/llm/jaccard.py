@@ -94,6 +94,23 @@ def sketch_limit(threshold: float) -> int:
     return int(np.ceil(TOKENS * expect + 3.5 * np.sqrt(TOKENS * expect * (1 - expect))))
 
 
+def _more_pivots(placed: DataFrame, far: DataFrame, run: int, limit: int, pivots: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Compare all sets of large buckets with a few pivots drawn from the sets ``far`` from the first one.
+
+    Returns the candidate edges, a few for each set, and the far sets that are still near no pivot. Without this a
+    bucket of near copies would meet itself pair by pair.
+    """
+    sketch = [f"k{j}" for j in range(4)]
+    drawn = [F.min_by(F.struct("set", *sketch), F.xxhash64("set", F.lit(run), F.lit(n))) for n in range(pivots)]
+    extra = far.groupBy("node").agg(F.array_distinct(F.array(*drawn)).alias("drawn")).select("node", F.explode("drawn").alias("q"))
+    extra = written(extra.select("node", F.col("q.set").alias("q"), *(F.col(f"q.{k}").alias(f"q{k[1]}") for k in sketch)), "extra")
+    near = placed.join(extra, "node").where((F.col("set") != F.col("q")) & (_differ("k", "q") <= limit))
+    near = written(near.select("node", "set", "q", _differ("k", "q").alias("differ")), "near")
+    done = near.select("node", "set").unionByName(extra.select("node", F.col("q").alias("set"))).distinct()
+    left = written(far.join(done, ["node", "set"], "left_anti"), "far")
+    return near.select(F.col("set").alias("a"), F.col("q").alias("b"), "differ"), left
+
+
 def _run(sets: DataFrame, run: int, limit: int, threshold: float, bucket_rows: int, depth: int) -> DataFrame:
     """Candidate edges ``(a, b, differ)`` of one run."""
     sketch = [f"k{j}" for j in range(4)]
@@ -114,20 +131,21 @@ def _run(sets: DataFrame, run: int, limit: int, threshold: float, bucket_rows: i
         placed = rows.join(pivots, "node").withColumn("differ", _differ("k", "p"))
         placed = written(placed.select("node", "set", "pivot", "members", "differ", *sketch), "placed")
         edges.append(placed.where((F.col("set") != F.col("pivot")) & (F.col("differ") <= limit)).select(F.col("set").alias("a"), F.col("pivot").alias("b"), "differ"))
-        alone = placed.where(F.col("differ") > limit)
-        last = level == depth - 1
-        if not last:
-            alone = alone.where(F.col("members") <= bucket_rows)
+        alone, last = placed.where(F.col("differ") > limit), level == depth - 1
+        far = alone.where(F.col("members") > bucket_rows)
+        spread, far = _more_pivots(placed.where(F.col("members") > bucket_rows), far, run, limit)
+        edges.append(spread)
+        alone = alone.where(F.col("members") <= bucket_rows)
+        if last:
+            alone = alone.unionByName(far)
         mine = alone.select("node", F.col("set").alias("a"), *(F.col(k).alias(f"u{k[1]}") for k in sketch))
         others = placed.select("node", F.col("set").alias("b"), *(F.col(k).alias(f"v{k[1]}") for k in sketch))
         met = mine.join(others, "node").where((F.col("a") != F.col("b")) & (_differ("u", "v") <= limit))
         edges.append(met.select("a", "b", _differ("u", "v").alias("differ")))
         if last:
             break
-        # Large buckets that hold sets far from their pivot are split again, all of their sets with them.
-        large = placed.where((F.col("members") > bucket_rows) & (F.col("differ") > limit)).select("node").distinct()
-        more = placed.join(large, "node", "left_semi").select("node", "set")
-        more = written(more, "more")
+        # Large buckets that still hold sets far from all pivots are split again, all of their sets with them.
+        more = written(placed.join(far.select("node").distinct(), "node", "left_semi").select("node", "set"), "more")
         if more.isEmpty():
             break
         rows = split(more.join(sets.select("set", "tokens", *sketch), "set"), F.col("node"))

@@ -27,13 +27,13 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def check_jaccard(spark, rows):
+def check_jaccard(spark, rows, **options):
     sets = [shingles(t) for _, t in rows]
     pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
     root = unions(len(rows), pairs)
     links = np.bincount([x for p in pairs for x in p], minlength=len(rows))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set", F.lit("clash")).withColumn("row", F.lit(1))
-    got = {r["doc_id"]: r for r in jaccard.near_duplicates(df).collect()}
+    got = {r["doc_id"]: r for r in jaccard.near_duplicates(df, **options).collect()}
     assert len(got) == len(rows)
     for i, (key, _) in enumerate(rows):
         least = min(rows[j][0] for j in range(len(rows)) if root[j] == root[i])
@@ -52,6 +52,7 @@ def test_jaccard_equals_brute_force(spark, sf_dir):
         rows.append((20_000 + k, " ".join(base[:20] + [f"y{k}_{j}" for j in range(60)])))
     odd = [None, "", "one two", "one two", "One  two", "a b c d e", " \n", "z " * 4000, "z " * 4001]
     check_jaccard(spark, rows + [(30_000 + i, t) for i, t in enumerate(odd)])
+    check_jaccard(spark, rows, bucket_rows=10, block_rows=16, small=0)
 
 
 def test_jaccard_empty_and_null_keys(spark):
