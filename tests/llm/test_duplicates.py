@@ -122,6 +122,32 @@ def test_lines_equal_brute_force(spark):
     assert lines.deduplicated(df.limit(0)).count() == 0
 
 
+def edited(rng, words, edits, tag):
+    """Words with so many of them replaced, left out or put in."""
+    words = list(words)
+    for e in range(edits):
+        at, how = int(rng.integers(len(words))), rng.integers(3)
+        words[at : at + (how < 2)] = [] if how == 1 else [f"{tag}e{e}"]
+    return words
+
+
+def test_lines_recall_by_edit_similarity_alone(spark):
+    """Every pair of edit similarity 0.8 is linked, at any length and at any number of edits that leaves it so."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for n in (5, 6, 9, 10, 14, 20, 30, 45, 60, 120):
+        for k in range(12):
+            base = [vocabulary[int(400 * x * x)] for x in rng.random(n)]
+            near = edited(rng, base, 1 + k % (n // 5), f"n{n}k{k}")
+            while len(near) < 5 or n // 5 > 0.2 * max(n, len(near)) + 1e-9:
+                near = edited(rng, base, 1, f"n{n}k{k}")
+            rows += [(10_000 * n + k, " ".join(base)), (10_000 * n + 5_000 + k, " ".join(near))]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept_near = [d for d, n in got.items() if d % 10_000 >= 5_000 and n == 0]
+    assert not kept_near and sum(got.values()) >= 120
+
+
 def test_simhash_votes(spark):
     """Against counting bit by bit."""
     rows = [(n, [int(x) for x in np.random.default_rng(n).integers(-(2**63), 2**63, n)]) for n in (5, 6, 126, 500, 70_000)]
