@@ -148,6 +148,17 @@ def test_lines_recall_by_edit_similarity_alone(spark):
     assert not kept_near and sum(got.values()) >= 120
 
 
+def line_query(spark, folder, texts):
+    """What op2_line_dedup leaves of texts numbered from 0."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return [r["text"] for r in QUERIES["op2_line_dedup"](spark, str(folder)).orderBy("doc_id").collect()]
+
+
+def test_short_lines_that_repeat_go(spark, tmp_path):
+    texts = ["Read more\none two", "read MORE!\n--\n\n--", "短い行です\nRead", "短い行です\nread less"]
+    assert line_query(spark, tmp_path, texts) == ["Read more\none two", "--\n\n--", "短い行です\nRead", "read less"]
+
+
 def test_simhash_votes(spark):
     """Against counting bit by bit."""
     rows = [(n, [int(x) for x in np.random.default_rng(n).integers(-(2**63), 2**63, n)]) for n in (5, 6, 126, 500, 70_000)]
