@@ -159,6 +159,12 @@ def test_short_lines_that_repeat_go(spark, tmp_path):
     assert line_query(spark, tmp_path, texts) == ["Read more\none two", "--\n\n--", "短い行です\nRead", "read less"]
 
 
+def test_rows_that_differ_in_digits_stay(spark, tmp_path):
+    table = "2021 | 341 | 552 | 120 | 77\n2020 | 118 | 904 | 333 | 61"
+    long = " ".join(f"word{i}" for i in range(9))
+    assert line_query(spark, tmp_path, [table, "2021 | 341 | 552 | 120 | 77\n2020 | 118 | 904 | 333 | 62\n2019 | 118 | 905 | 334 | 62", f"{long} 12", f"{long} 13"]) == [table, "2019 | 118 | 905 | 334 | 62", f"{long} 12", ""]
+
+
 def test_simhash_votes(spark):
     """Against counting bit by bit."""
     rows = [(n, [int(x) for x in np.random.default_rng(n).integers(-(2**63), 2**63, n)]) for n in (5, 6, 126, 500, 70_000)]
