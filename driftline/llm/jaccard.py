@@ -94,21 +94,47 @@ def sketch_limit(threshold: float) -> int:
     return int(np.ceil(TOKENS * expect + 3.5 * np.sqrt(TOKENS * expect * (1 - expect))))
 
 
-def _more_pivots(placed: DataFrame, far: DataFrame, run: int, limit: int, pivots: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Compare all sets of large buckets with a few pivots drawn from the sets ``far`` from the first one.
-
-    Returns the candidate edges, a few for each set, and the far sets that are still near no pivot. Without this a
-    bucket of near copies would meet itself pair by pair.
-    """
-    sketch = [f"k{j}" for j in range(4)]
-    drawn = [F.min_by(F.struct("set", *sketch), F.xxhash64("set", F.lit(run), F.lit(n))) for n in range(pivots)]
-    extra = far.groupBy("node").agg(F.array_distinct(F.array(*drawn)).alias("drawn")).select("node", F.explode("drawn").alias("q"))
-    extra = written(extra.select("node", F.col("q.set").alias("q"), *(F.col(f"q.{k}").alias(f"q{k[1]}") for k in sketch)), "extra")
-    near = placed.join(extra, "node").where((F.col("set") != F.col("q")) & (_differ("k", "q") <= limit))
-    near = written(near.select("node", "set", "q", _differ("k", "q").alias("differ")), "near")
-    done = near.select("node", "set").unionByName(extra.select("node", F.col("q").alias("set"))).distinct()
-    left = written(far.join(done, ["node", "set"], "left_anti"), "far")
-    return near.select(F.col("set").alias("a"), F.col("q").alias("b"), "differ"), left
+def _sketched(limit: int):
+    """Edges of pairs of blocks of a large bucket: pairs that a set far from the pivot is in, and differ up to ``limit``."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("set")
+        low, high = pdf["block_a"].iloc[0], pdf["block_b"].iloc[0]
+        block, ids, far = pdf["block"].to_numpy(), pdf["set"].to_numpy(), pdf["far"].to_numpy()
+        sketch = pdf[[f"k{j}" for j in range(4)]].to_numpy().view(np.uint64)
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        if not len(right):
+            left = left[:0]
+        found_a, found_b, found_d = [], [], []
+        for at in range(0, len(left), 128):
+            mine = left[at : at + 128]
+            differ = np.zeros((len(mine), len(right)), np.int16)
+            for j in range(4):
+                x = sketch[mine, j][:, None] ^ sketch[right, j][None, :]
+                x |= x >> np.uint64(1)
+                differ += np.bitwise_count((x | x >> np.uint64(2)) & np.uint64(_NIBBLE))
+            near = (differ <= limit) & (far[mine][:, None] | far[right][None, :]) & (mine[:, None] != right[None, :])
+            a, b = np.nonzero(near)
+            # Of these edges a spanning forest is enough to tell what is together; the closest of each set stay besides.
+            found_a.append(mine[a]), found_b.append(right[b]), found_d.append(differ[a, b])
+        if not found_a:
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0], "differ": np.zeros(0, np.int32)})
+        a, b, d = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_d).astype(np.int32)
+        root = _local_roots(len(ids), a, b)
+        order = np.argsort(d, kind="stable")
+        first = np.union1d(np.unique(a[order], return_index=True)[1], np.unique(b[order], return_index=True)[1])
+        closest = order[first]
+        joined = np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"a": np.concatenate([ids[a[closest]], ids[joined]]), "b": np.concatenate([ids[b[closest]], ids[root[joined]]]), "differ": np.concatenate([d[closest], np.full(len(joined), limit, np.int32)])})
+
+    return one
+
+
+def _blockwise(placed: DataFrame, limit: int, block_rows: int = 1024) -> DataFrame:
+    """Edges ``(a, b, differ)`` that connect what the sets of ``placed`` far from their pivot are near, block by block."""
+    rows = placed.select("node", "set", (F.col("differ") > limit).alias("far"), *(f"k{j}" for j in range(4)))
+    pairs = block_pairs(rows, ["node"], "set", block_rows)
+    return pairs.groupBy("node", "block_a", "block_b").applyInPandas(_sketched(limit), "a long, b long, differ int")
 
 
 def _run(sets: DataFrame, run: int, limit: int, threshold: float, bucket_rows: int, depth: int) -> DataFrame:
@@ -123,28 +149,27 @@ def _run(sets: DataFrame, run: int, limit: int, threshold: float, bucket_rows: i
 
         return rows.withColumn("node", F.explode(F.array(child(0), child(1)))).select("node", "set", "tokens", *sketch)
 
+    drawn = F.struct(F.xxhash64("set", F.lit(run)), "set")  # another pivot in each run
     edges, rows = [], split(sets, F.lit(run))
     for level in range(depth):
         rows = written(rows, "buckets")
-        pivots = rows.groupBy("node").agg(F.min("set").alias("pivot"), *(F.min_by(k, "set").alias(f"p{k[1]}") for k in sketch), F.count("*").alias("members")).where("members > 1")
+        pivots = rows.groupBy("node").agg(F.min_by("set", drawn).alias("pivot"), *(F.min_by(k, drawn).alias(f"p{k[1]}") for k in sketch), F.count("*").alias("members")).where("members > 1")
         pivots = written(pivots, "pivots")
         placed = rows.join(pivots, "node").withColumn("differ", _differ("k", "p"))
         placed = written(placed.select("node", "set", "pivot", "members", "differ", *sketch), "placed")
         edges.append(placed.where((F.col("set") != F.col("pivot")) & (F.col("differ") <= limit)).select(F.col("set").alias("a"), F.col("pivot").alias("b"), "differ"))
         alone, last = placed.where(F.col("differ") > limit), level == depth - 1
         far = alone.where(F.col("members") > bucket_rows)
-        spread, far = _more_pivots(placed.where(F.col("members") > bucket_rows), far, run, limit)
-        edges.append(spread)
         alone = alone.where(F.col("members") <= bucket_rows)
-        if last:
-            alone = alone.unionByName(far)
         mine = alone.select("node", F.col("set").alias("a"), *(F.col(k).alias(f"u{k[1]}") for k in sketch))
         others = placed.select("node", F.col("set").alias("b"), *(F.col(k).alias(f"v{k[1]}") for k in sketch))
         met = mine.join(others, "node").where((F.col("a") != F.col("b")) & (_differ("u", "v") <= limit))
         edges.append(met.select("a", "b", _differ("u", "v").alias("differ")))
         if last:
+            large = placed.where(F.col("members") > bucket_rows).join(far.select("node").distinct(), "node", "left_semi")
+            edges.append(written(_blockwise(large, limit), "blocks"))
             break
-        # Large buckets that still hold sets far from all pivots are split again, all of their sets with them.
+        # Large buckets that hold sets far from the pivot are split again, all of their sets with them.
         more = written(placed.join(far.select("node").distinct(), "node", "left_semi").select("node", "set"), "more")
         if more.isEmpty():
             break

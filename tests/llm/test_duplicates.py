@@ -62,6 +62,27 @@ def test_jaccard_empty_and_null_keys(spark):
     assert sorted((r["doc_id"] is None, r["class_id"] or 0, r["n_links"], r["kept"]) for r in got) == [(False, 4, 2, True), (False, 4, 2, True), (True, 0, 0, True), (True, 4, 2, False)] or len(got) == 4
 
 
+@pytest.mark.parametrize("depth", [1, 2])
+def test_families_joined_by_one_pair(spark, depth):
+    """Two families of over 200 sets in the same buckets; a is near the first only, b near the second only, and near each other."""
+    def sketch(*changed):
+        tokens = np.zeros(64, np.uint64)
+        for at, value in changed:
+            tokens[at] = value
+        low = (tokens & np.uint64(15)).reshape(4, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+        return [int(v) for v in np.bitwise_or.reduce(low, axis=1).view(np.int64)]
+
+    places = lambda n: [(i, 1) for i in range(n)]
+    family_1 = [(i, sketch((63, i % 15))) for i in range(250)]
+    family_2 = [(1000 + i, sketch(*places(45), (63, i % 15))) for i in range(250)]
+    rows = [(k, list(range(jaccard.TOKENS)), *s) for k, s in family_1 + [(500, sketch(*places(15))), (600, sketch(*places(30)))] + family_2]
+    sets = spark.createDataFrame(rows, "set long, tokens array<int>, k0 long, k1 long, k2 long, k3 long")
+    for run in range(2):
+        edges = [(r["a"], r["b"]) for r in jaccard._run(sets, run, jaccard.sketch_limit(0.8), 0.8, 200, depth).collect()]
+        at = {r[0]: i for i, r in enumerate(rows)}
+        assert len(set(unions(len(rows), [(at[a], at[b]) for a, b in edges]))) == 1
+
+
 def line_oracle(spark, rows):
     """Brute force over the same SimHashes and letters."""
     df = spark.createDataFrame(rows, "doc_id long, text string").where("text is not null")
