@@ -137,3 +137,13 @@ def test_pipeline_stages_apply_their_decisions(spark, sf_dir):
     assert corpus_pipeline.dedup_documents(spark, twice, sf_dir).where("doc_id >= 1000000").count() == 0
     lines = corpus_pipeline.dedup_lines(spark, twice, sf_dir)
     assert lines.columns == corpus_pipeline.COLUMNS and lines.count() < 1.2 * docs.count()
+
+
+def test_pipeline_mixing_meets_targets_above_one(spark, sf_dir):
+    """Token shares 0.9 and 0.1 of two sources, raised to 0.7, are 0.823 and 0.177."""
+    rows = [(i, "one two three four", "en", "small" if i % 10 == 0 else "large", 18) for i in range(4000)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(corpus_pipeline.COLUMNS, ["long", "string", "string", "string", "long"])))
+    found = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    assert found.columns == corpus_pipeline.COLUMNS
+    n = {r["source"]: r["count"] for r in found.groupBy("source").count().collect()}
+    assert abs(n["small"] / sum(n.values()) - 0.177) < 0.01
