@@ -320,4 +320,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     least = written(keyed.where("class is not null").groupBy("class").agg(F.min("key").alias("least")), "least")
     out = keyed.join(least, "class", "left")
     class_id = F.coalesce("least", "key")
-    return out.select(F.col("key").alias(key), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("key") == class_id, class_id.isNull()).alias("kept"), "row")
+    return out.select(F.col("key").alias(key), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("key") == class_id, class_id.isNull()).alias("kept"), "row", "class")

@@ -147,3 +147,13 @@ def test_pipeline_mixing_meets_targets_above_one(spark, sf_dir):
     assert found.columns == corpus_pipeline.COLUMNS
     n = {r["source"]: r["count"] for r in found.groupBy("source").count().collect()}
     assert abs(n["small"] / sum(n.values()) - 0.177) < 0.01
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, sf_dir):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:30], "x", *words[31:]])
+    texts = [(1, " ".join(words), "a"), (1, " ".join(words), "a"), (1, " ".join(words), "b"), (1, near, "a"), (7, near, "a"), (2, "other text of a few words", "a"), (2, "same key and nothing else alike", "a"), (3, " ", "a")]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t)) for k, t, s in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.dedup_documents(spark, docs, sf_dir)
+    assert found.columns == corpus_pipeline.COLUMNS
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 2, 2, 3]
