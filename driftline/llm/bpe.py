@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import sys
 from array import array
 
 import numpy as np
@@ -23,9 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from driftline.llm.common import slices
+
 #: Fixed value: how a byte-level vocabulary cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = 1 << 60
+_ARCS = 1_000_000  # arcs whose removal is remembered; bounds memory, changes no result
 cut_words = regex.compile(WORDS).findall
 
 
@@ -93,6 +95,8 @@ class Automaton:
 
         An accepted path to a position is unique, so a position that led nowhere is never entered again.
         """
+        if len(self.removed) > _ARCS:
+            self.removed.clear()
         n, trie, ends, size, removed = len(data), self.trie, self.ends, self.size, self.removed
         out, starts, rest, dead = [], [], [], set()
         i = 0
@@ -196,6 +200,14 @@ def encode_bytes(text: str | None, made: Automaton, memo: Memo) -> bytes:
     return b"".join(out)
 
 
+def _ids_of(texts: list[str | None], made: Automaton, memo: Memo) -> tuple[list[np.ndarray], pa.ListArray]:
+    """Ids of texts, one by one and as an Arrow column over one buffer."""
+    ids = [np.frombuffer(encode_bytes(t, made, memo), "<u4") for t in texts]
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    flat = np.concatenate(ids).view(np.int32) if ids else np.zeros(0, np.int32)
+    return ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def encoded(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` (array of int, empty for a null or empty text); a column of that name is replaced."""
     kept = [f for f in df.schema.fields if f.name != "ids"]
@@ -204,16 +216,35 @@ def encoded(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         made, memo = automaton(shared.value)
-        for batch in batches:
-            ids = [np.frombuffer(encode_bytes(t, made, memo), "<u4").astype(np.int32) for t in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        for batch in (part for whole in batches for part in slices(whole, text)):
+            _, column = _ids_of(batch.column(text).to_pylist(), made, memo)
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, column], [*names, "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return df.mapInArrow(run, f"{fields}, ids array<int>")
 
 
+def round_trips(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """``df`` without its text, with ``ids`` and ``round_trip``: whether decoding the ids gives the text again.
+
+    Both ways are gone in one task, so the text and the ids cross into Python once. A null text counts as empty.
+    """
+    kept = [f for f in df.schema.fields if f.name not in (text, "ids", "round_trip")]
+    names = [f.name for f in kept]
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        made, memo = automaton(shared.value)
+        for batch in (part for whole in batches for part in slices(whole, text)):
+            texts = batch.column(text).to_pylist()
+            ids, column = _ids_of(texts, made, memo)
+            same = [made.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, column, pa.array(same, pa.bool_())], [*names, "ids", "round_trip"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return df.mapInArrow(run, f"{fields}, ids array<int>, round_trip boolean")
+
+
 def decoded(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids; null ids give a null text, broken UTF-8 becomes U+FFFD."""
     kept = [f for f in df.schema.fields if f.name != out]
@@ -222,8 +253,8 @@ def decoded(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decode
 
     def run(batches):
         made, _ = automaton(shared.value)
-        for batch in batches:
-            texts = [None if x is None else made.decode(x) for x in batch.column(ids).to_pylist()]
+        for batch in (whole.slice(k, 64) for whole in batches for k in range(0, whole.num_rows, 64)):
+            texts = [made.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(texts, pa.string())], [*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -241,7 +272,7 @@ def digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
     def run(batches):
         made, memo = automaton(shared.value)
         label = made.label.__getitem__
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             n, a, b = [], [], []
             for t in batch.column(text).to_pylist():
                 raw = encode_bytes(t, made, memo)
@@ -254,5 +285,3 @@ def digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 5000))

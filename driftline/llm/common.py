@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators.graph import connected
 from driftline.sources.scratch import drop_written, new_path, partitions, scratch, written
 
-__all__ = ["block_pairs", "connected", "drop_written", "new_path", "partitions", "scratch", "table", "written"]
+__all__ = ["block_pairs", "connected", "drop_written", "new_path", "partitions", "row_id", "scratch", "slices", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_id(key: Column, text: Column) -> Column:
+    """128 bits that tell a row by key and text, in which nulls and values never look alike."""
+    key = key.cast("string")
+    named = F.coalesce(F.concat(F.lit("k"), F.length(key).cast("string"), F.lit(":"), key), F.lit("n"))
+    return F.unhex(F.md5(F.concat(named, F.coalesce(F.concat(F.lit("t"), text), F.lit("n")))))
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts hold about ``most`` bytes together, one row at least.
+
+    What a task works on at once is so bounded by bytes, however long the texts are; a longer text is a run of its own.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(sizes + 64) // most
+    starts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(starts, starts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def block_pairs(rows: DataFrame, by: list[str], member: str, size: int) -> DataFrame:
     """Deal each group of ``rows`` to pairs of blocks of about ``size`` members, so that every two members meet once.
 
