@@ -1,5 +1,7 @@
 """Pairs, lines and vectors against brute force, and odd rows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -83,42 +85,34 @@ def test_families_joined_by_one_pair(spark, depth):
         assert len(set(unions(len(rows), [(at[a], at[b]) for a, b in edges]))) == 1
 
 
-def line_oracle(spark, rows):
-    """Brute force over the same SimHashes and letters."""
-    df = spark.createDataFrame(rows, "doc_id long, text string").where("text is not null")
-    each = df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("w", lines.words_of(F.col("line"))).where("size(w) >= 5")
-    each = each.select("doc_id", "row", "pos", F.concat_ws(" ", "w").alias("norm"), lines.hashed(F.col("w")).alias("hashes"))
-    found = lines.simhashed(each, ["doc_id", "row", "pos", "norm"]).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["row"], r["pos"]))
-    norms = sorted({r["norm"] for r in found})
+def distance(x, y):
+    prev = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        cur = [i]
+        for j, d in enumerate(y, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (c != d)))
+        prev = cur
+    return prev[-1]
+
+
+def line_oracle(rows):
+    """Brute force by edit similarity alone, over words cut here: what goes by key, and the number of linked pairs."""
+    found = []
+    for key, text in rows:
+        for pos, line in enumerate((text or "").split("\n")):
+            words = tuple(w for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", line.lower()) if w)
+            if len(words) >= 5:
+                found.append((key, pos, words))
+    found.sort()
+    norms = sorted({w for _, _, w in found})
     at = {n: i for i, n in enumerate(norms)}
-    sketch = {r["norm"]: (r["s1"], r["s2"]) for r in found}
-
-    def distance(x, y):
-        prev = list(range(len(y) + 1))
-        for i, c in enumerate(x, 1):
-            cur = [i]
-            for j, d in enumerate(y, 1):
-                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (c != d)))
-            prev = cur
-        return prev[-1]
-
-    pairs = []
-    for a in range(len(norms)):
-        for b in range(a + 1, len(norms)):
-            x, y = sketch[norms[a]], sketch[norms[b]]
-            if bin(x[0] ^ y[0]).count("1") + bin(x[1] ^ y[1]).count("1") <= lines.RADIUS:
-                u, v = norms[a].split(), norms[b].split()
-                if distance(u, v) <= int(0.2 * max(len(u), len(v)) + 1e-9):
-                    pairs.append((a, b))
+    pairs = [(a, b) for a, x in enumerate(norms) for b, y in enumerate(norms[:a]) if abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)]
     root, first, gone = unions(len(norms), pairs), set(), {}
-    for r in found:
-        g = root[at[r["norm"]]]
-        if g in first:
-            gone.setdefault(r["row"], set()).add(r["pos"])
-        first.add(g)
-    keys = {r["row"]: r["doc_id"] for r in found}
-    return {keys[k]: v for k, v in gone.items()}, len(pairs)
+    for key, pos, w in found:
+        if root[at[w]] in first:
+            gone.setdefault(key, set()).add(pos)
+        first.add(root[at[w]])
+    return gone, len(pairs)
 
 
 def test_lines_equal_brute_force(spark):
@@ -130,7 +124,7 @@ def test_lines_equal_brute_force(spark):
         own = " ".join(f"u{k}x{j}" for j in range(12))
         rows.append((k, "\n".join([" ".join(near), own, "short line", "A common line, that repeats 12 times.", own.upper() + "!"])))
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "one " * 300 + "\n" + "one " * 300), (104, "a common LINE that repeats 99 times")]
-    gone, n_pairs = line_oracle(spark, rows)
+    gone, n_pairs = line_oracle(rows)
     assert n_pairs > 20
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit("clash"))
     got = {r["doc_id"]: r for r in lines.deduplicated(df).collect()}
@@ -186,18 +180,38 @@ def test_rows_that_differ_in_digits_stay(spark, tmp_path):
     assert line_query(spark, tmp_path, [table, "2021 | 341 | 552 | 120 | 77\n2020 | 118 | 904 | 333 | 62\n2019 | 118 | 905 | 334 | 62", f"{long} 12", f"{long} 13"]) == [table, "2019 | 118 | 905 | 334 | 62", f"{long} 12", ""]
 
 
-def test_simhash_votes(spark):
-    """Against counting bit by bit."""
-    rows = [(n, [int(x) for x in np.random.default_rng(n).integers(-(2**63), 2**63, n)]) for n in (5, 6, 126, 500, 70_000)]
-    df = spark.createDataFrame(rows, "line int, hashes array<long>")
-    got = {r["line"]: (r["s1"], r["s2"]) for r in lines.simhashed(df, ["line"]).collect()}
-    second = {r["line"]: r["g"] for r in df.select("line", F.transform("hashes", lines._second).alias("g")).collect()}
-    for n, h in rows:
-        want = []
-        for values in (h, second[n]):
-            bits = (np.array(values, np.int64).view(np.uint64)[:, None] >> np.array(lines.POSITIONS, np.uint64)) & np.uint64(1)
-            want.append(sum(1 << p for p, c in zip(lines.POSITIONS, bits.sum(0)) if c > n // 2))
-        assert got[n] == tuple(want)
+@pytest.mark.parametrize("n", [5, 9, 10, 20, 40, 60, 200])
+def test_lines_just_similar_enough_share_a_block(spark, n):
+    """Pairs at 0.8 or just above it, words changed, left out or put in anywhere: at least 0.97 have a block in common."""
+    rng = np.random.default_rng(n)
+    rows, tries = [], 200
+    for k in range(tries):
+        base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        near = edited(rng, base, n // 5, f"k{k}")
+        while len(near) < 5 or distance(base, near) > 0.2 * max(n, len(near)) + 1e-9:
+            near = edited(rng, base, n // 5, f"k{k}")
+        rows.append((k, base, near))
+    df = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
+    met = df.select(lines.hashed(F.col("a")).alias("a"), lines.hashed(F.col("b")).alias("b")).select(F.arrays_overlap(lines.blocks_of(F.col("a"), F.size("a"), 0.8), lines.blocks_of(F.col("b"), F.size("b"), 0.8)).alias("met"))
+    assert met.where("met").count() >= (0.97 if n > 10 else 1) * tries
+
+
+def test_lines_of_one_block_that_differ(spark):
+    """A passage that thousands of otherwise different lines share links none of them, in any number of slices."""
+    rng = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(12)]
+    rows = [(k, " ".join(passage + [f"w{x}" for x in rng.integers(0, 10**6, 14)])) for k in range(2500)]
+    rows += [(5000 + k, " ".join(passage + [f"z{x}" for x in range(14)] + [f"end{k}"])) for k in range(2)]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k, n in got.items() if n] == [5001]
+
+
+def test_lines_odd_rows(spark):
+    rows = [(None, "one two three four five six"), (3, "ONE two, three four five six"), (3, "ONE two, three four five six"), (None, "x"), (4, None), (None, None), (5, "5 6 7 8 9\n5 6 7 8 9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash")).withColumn("key", F.lit("clash"))
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"], r["key"]) for r in lines.deduplicated(df).collect()), key=repr)
+    want = [(3, rows[1][1], 1, 0), (3, rows[1][1], 1, 0), (4, None, 0, 0), (5, "5 6 7 8 9", 2, 1), (None, "", 1, 1), (None, "x", 1, 0), (None, None, 0, 0)]
+    assert got == sorted(((*w, "clash") for w in want), key=repr)
 
 
 def vectors(seed=1, n=300, dim=16):
