@@ -55,12 +55,23 @@ def tempered(counted: DataFrame, margin: str, power: float) -> DataFrame:
     return powered.join(F.broadcast(whole)).select("value", (F.col("x") / F.col("all")).alias("share"))
 
 
-def rake(counted: DataFrame, targets: dict[str, DataFrame], sweeps: int = 12, small_cells: int = 100_000) -> DataFrame:
+def _worst(raked: DataFrame) -> float:
+    """The largest difference between a margin's share and its target."""
+    worst = None
+    for m in MARGINS:
+        own = raked.groupBy(m).agg((F.sum("mass") / F.max("all")).alias("is"), F.max(f"to_{m}").alias("to")).agg(F.max(F.abs(F.col("is") - F.col("to"))).alias("d"))
+        worst = own if worst is None else worst.unionByName(own)
+    return worst.agg(F.max("d")).first()[0] or 0.0
+
+
+def rake(counted: DataFrame, targets: dict[str, DataFrame], max_sweeps: int = 200, small_cells: int = 100_000, tolerance: float = 1e-12) -> DataFrame:
     """The cells with ``mass``: their tokens, scaled margin by margin towards the target shares of the whole.
 
-    A value that a margin's targets don't name keeps nothing; targets for values without tokens are ignored.
+    Sweeps are repeated until every margin is within ``tolerance`` of its target; after ``max_sweeps``, which only
+    targets that contradict each other reach, the last state is returned. A value that a margin's targets don't name
+    keeps nothing; targets for values without tokens are ignored.
     Up to ``small_cells`` counted cells are raked in one task, whose windows then need no shuffle; more are raked
-    by grouped sums and joins, written margin by margin; the windows are written every fourth sweep.
+    by grouped sums and joins, written margin by margin; the windows are written every eighth sweep.
     """
     small = counted.count() <= small_cells
     total = counted.agg(F.sum("tokens").alias("all"))  # one row
@@ -70,9 +81,9 @@ def rake(counted: DataFrame, targets: dict[str, DataFrame], sweeps: int = 12, sm
         cur = cur.join(F.broadcast(want) if small else want, margin, "left").fillna({f"to_{margin}": 0.0})
     columns = cur.columns
     cur = written(cur.coalesce(1) if small else cur, "cells")
-    for first in range(0, sweeps, 4):
+    for _ in range(0, max_sweeps, 8):
         nxt = cur.coalesce(1) if small else cur
-        for _ in range(first, min(first + 4, sweeps)):
+        for _ in range(8):
             for margin in MARGINS:
                 if small:
                     nxt = nxt.withColumn("have", F.sum("mass").over(Window.partitionBy(margin)))
@@ -87,6 +98,8 @@ def rake(counted: DataFrame, targets: dict[str, DataFrame], sweeps: int = 12, sm
         if small:
             last, cur = cur, written(nxt, "cells")
             drop_written(last)
+        if _worst(cur) <= tolerance:
+            break
     return cur
 
 
@@ -96,34 +109,35 @@ def drawn(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mixed(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, rate: float = 1.0, seed: int = 5, sweeps: int = 12, topic: str | None = None, key: str = "doc_id", small_cells: int = 100_000) -> DataFrame:
-    """``docs`` with their cell, ``mix_tokens``, ``mix_ratio``, ``mix_probability``, ``mix_weight`` and ``kept``.
+def mixed(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, rate: float = 1.0, seed: int = 5, topic: str | None = None, key: str = "doc_id", small_cells: int = 100_000) -> DataFrame:
+    """``docs`` with their cell, ``mix_tokens``, ``mix_ratio``, ``mix_probability``, ``mix_copies`` and ``kept``.
 
-    ``mix_ratio`` is a cell's raked mass over its tokens. A document is kept with probability
-    ``min(1, rate * mix_ratio)``, decided by a hash of its key; where the ratio asks for more than one copy the
-    rest is carried by ``mix_weight`` (ratio over probability), so that kept tokens times weight meet the
-    targets. Documents without tokens (null or blank texts) have no mass: probability 0 and not kept. Rows with
-    equal or null keys are decided alike; an empty table gives an empty result. Columns ``mix_*`` and ``kept``
-    are replaced.
+    ``mix_ratio`` is a cell's raked mass over its tokens. The sample holds a document ``mix_copies`` (long) times: the
+    whole part of ``rate * mix_ratio``, and once more with a probability that is the fraction, decided by a hash of its
+    key; so the tokens of the sample meet the targets of all margins, those above one as well. ``mix_probability`` is
+    that of being in it at all, and ``kept`` whether it is. Documents without tokens (null or blank texts) have no
+    mass: probability 0 and not kept. Rows with equal or null keys are decided alike; an empty table gives an empty
+    result. Columns ``mix_*`` and ``kept`` are replaced.
     """
     docs = docs.drop(*(c for c in docs.columns if c.startswith("mix_") or c == "kept"))
     rows = labelled(docs, topic)
     counted = written(cells(rows), "counted")
     powers = powers or {"source": 0.7, "lang": 0.8, "topic": 0.9}
     targets = targets or {m: written(tempered(counted, m, powers[m]), "targets") for m in MARGINS}
-    raked = rake(counted, targets, sweeps, small_cells)
+    raked = rake(counted, targets, small_cells=small_cells)
     ratio = raked.select(*(F.col(m).alias(f"mix_{m}") for m in MARGINS), (F.col("mass") / F.col("tokens")).alias("mix_ratio"))
     if ratio.count() <= small_cells:  # sources times languages times topics, counted before it is broadcast
         ratio = F.broadcast(ratio)
     out = rows.join(ratio, [f"mix_{m}" for m in MARGINS], "left")
     has = F.col("mix_tokens") > 0
     out = out.withColumn("mix_ratio", F.when(has, F.coalesce("mix_ratio", F.lit(0.0))).otherwise(0.0))
-    out = out.withColumn("mix_probability", F.least(F.lit(1.0), F.col("mix_ratio") * F.lit(rate)))
-    weight = F.when(F.col("mix_probability") > 0, F.col("mix_ratio") * F.lit(rate) / F.col("mix_probability")).otherwise(0.0)
-    return out.withColumns({"mix_weight": weight, "kept": drawn(F.col(key), seed) < F.col("mix_probability")})
+    asked = F.col("mix_ratio") * F.lit(rate)
+    copies = F.floor(asked) + (drawn(F.col(key), seed) < asked - F.floor(asked)).cast("long")
+    out = out.withColumns({"mix_probability": F.least(F.lit(1.0), asked), "mix_copies": copies})
+    return out.withColumn("kept", F.col("mix_copies") > 0)
 
 
-def sql(docs: str = "documents", powers: dict[str, float] | None = None, seed: int = 5, sweeps: int = 12) -> str:
+def sql(docs: str = "documents", powers: dict[str, float] | None = None, seed: int = 5, sweeps: int = 40) -> str:
     """The same result in DuckDB's SQL: the sweeps unrolled, ratios rounded."""
     powers = powers or {"source": 0.7, "lang": 0.8, "topic": 0.9}
     steps = [
@@ -141,7 +155,9 @@ def sql(docs: str = "documents", powers: dict[str, float] | None = None, seed: i
         for m in MARGINS:
             steps.append(f"m{n + 1} AS MATERIALIZED (SELECT a.* REPLACE (a.mass * (g.share / sum(a.mass) OVER (PARTITION BY a.{m})) * a.whole AS mass) FROM m{n} a JOIN g_{m} g USING ({m}))")
             n += 1
+    draw = f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0"
     return f"""WITH {', '.join(steps)}
     SELECT doc_id, mix_source, mix_lang, mix_topic, mix_tokens, round(coalesce(mass / tokens, 0), 6) AS mix_ratio, round(least(1.0, coalesce(mass / tokens, 0)), 6) AS mix_probability,
-      (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0) < least(1.0, coalesce(mass / tokens, 0)) AS kept
+      floor(coalesce(mass / tokens, 0))::BIGINT + (({draw}) < coalesce(mass / tokens, 0) - floor(coalesce(mass / tokens, 0)))::BIGINT AS mix_copies,
+      ({draw}) < coalesce(mass / tokens, 0) AS kept
     FROM r LEFT JOIN m{n} m ON r.mix_tokens > 0 AND m.source = mix_source AND m.lang = mix_lang AND m.topic = mix_topic"""

@@ -49,7 +49,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_ratio", 6).alias("mix_ratio"), F.round("mix_probability", 6).alias("mix_probability"), "kept")
+    return rows.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_ratio", 6).alias("mix_ratio"), F.round("mix_probability", 6).alias("mix_probability"), "mix_copies", "kept")
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
