@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from driftline.operators.graph import connected
 from driftline.sources.scratch import drop_written, new_path, partitions, scratch, written
 
-__all__ = ["block_pairs", "connected", "drop_written", "new_path", "partitions", "row_id", "scratch", "slices", "table", "written"]
+__all__ = ["block_pairs", "connected", "drop_written", "new_path", "partitions", "row_hashes", "row_id", "runs_of_rows", "scratch", "slices", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,12 @@ def row_id(key: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(named, F.coalesce(F.concat(F.lit("t"), text), F.lit("n")))))
 
 
+def row_hashes(key: Column, text: Column) -> tuple[Column, Column]:
+    """The same as two hashes of 64 bits, which cost less."""
+    parts = [key.isNull(), text.isNull(), key, text]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``most`` bytes together, one row at least.
 
@@ -41,6 +48,15 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa
             yield batch.slice(a, b - a)
 
 
+def runs_of_rows(pdf: pd.DataFrame, text: str, most: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """The same for a batch in pandas, by characters."""
+    run = np.cumsum(pdf[text].str.len().fillna(0).to_numpy(np.int64) + 64) // most
+    starts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(pdf)]
+    for a, b in zip(starts, starts[1:]):
+        if b > a:
+            yield pdf.iloc[a:b]
+
+
 def block_pairs(rows: DataFrame, by: list[str], member: str, size: int) -> DataFrame:
     """Deal each group of ``rows`` to pairs of blocks of about ``size`` members, so that every two members meet once.
 

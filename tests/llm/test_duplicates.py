@@ -61,7 +61,7 @@ def test_jaccard_empty_and_null_keys(spark):
     schema = "doc_id long, text string"
     assert jaccard.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     got = jaccard.near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (None, "q"), (4, "a b c d e f")], schema)).collect()
-    assert sorted((r["doc_id"] is None, r["class_id"] or 0, r["n_links"], r["kept"]) for r in got) == [(False, 4, 2, True), (False, 4, 2, True), (True, 0, 0, True), (True, 4, 2, False)] or len(got) == 4
+    assert sorted((r["doc_id"] is None, r["class_id"] or 0, r["n_links"], r["kept"]) for r in got) == [(False, 4, 2, True), (False, 4, 2, True), (True, 0, 0, True), (True, 4, 2, False)]
 
 
 @pytest.mark.parametrize("depth", [1, 2])
@@ -192,7 +192,7 @@ def test_lines_just_similar_enough_share_a_block(spark, n):
             near = edited(rng, base, n // 5, f"k{k}")
         rows.append((k, base, near))
     df = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
-    met = df.select(lines.hashed(F.col("a")).alias("a"), lines.hashed(F.col("b")).alias("b")).select(F.arrays_overlap(lines.blocks_of(F.col("a"), F.size("a"), 0.8), lines.blocks_of(F.col("b"), F.size("b"), 0.8)).alias("met"))
+    met = df.select(F.arrays_overlap(lines.blocks_of(F.col("a"), F.size("a"), 0.8), lines.blocks_of(F.col("b"), F.size("b"), 0.8)).alias("met"))
     assert met.where("met").count() >= (0.97 if n > 10 else 1) * tries
 
 
