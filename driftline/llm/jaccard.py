@@ -1,13 +1,15 @@
 """N-gram Jaccard join by chosen paths.
 
 A document is the set of its five-word shingles. Each set is embedded as ``TOKENS`` minhash tokens. A run samples
-token positions; sets that share the token at a sampled position meet in a bucket, and a bucket that is too large
-is split again on tokens sampled for that bucket. In a small bucket all sets are compared by sketch; sets near the
-bucket's pivot are linked to it, so only the others are compared with the whole bucket. Runs are repeated until a
-further run finds (almost) nothing that the runs before it had not put together.
+token positions; sets that share the token at a sampled position meet in a bucket. In a bucket all sets are compared
+by sketch: those near the bucket's pivot are linked to it, so only the others, the far ones, are compared with the
+whole bucket, in slices where it is large. Only where that would be too many pairs is the bucket split again on tokens
+sampled for it. Runs are repeated until a further run finds (almost) nothing that the runs before it had not put
+together.
 
 What a run leaves are groups of sets that may be similar. Inside the groups every pair is compared exactly, block
-by block, which gives the links; nothing is emitted per pair. Equal sets are collapsed before all that.
+by block, which gives the links; nothing is emitted per pair. Equal sets are collapsed before all that. Sets and rows
+go by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,12 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import block_pairs, connected, drop_written, partitions, written
+from driftline.llm.common import connected, drop_written, partitions, row_id, runs_of_rows, written
 from driftline.llm.embeddings import _local_roots
 
 SHINGLE = 5
 TOKENS = 64
-_ROWS = 512  # documents worked on at once in a task; bounds memory, changes no result
 _NIBBLE = 0x1111111111111111
 _RANDOM = np.random.default_rng(64_05)
 _WORD_MIX = _RANDOM.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,8 +58,7 @@ def _embed(batches):
     """One row a document: the hash of its set, the set's size, its minhash tokens and their low four bits."""
     known: dict[bytes, int] = {}
     for whole in batches:
-        for at in range(0, len(whole), _ROWS):
-            pdf = whole.iloc[at : at + _ROWS]
+        for pdf in runs_of_rows(whole, "text"):
             if len(known) > 200_000:
                 known.clear()
             sets = [shingles(t, known) for t in pdf["text"]]
@@ -73,7 +73,7 @@ def _embed(batches):
                 mins[:, k] = np.minimum.reduceat((mixed >> np.uint64(32)).astype(np.uint32), starts)
             low = (mins & 15).astype(np.uint64).reshape(len(full), 4, 16)
             sketch = np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
-            ids = [int.from_bytes(hashlib.blake2b(sets[i].tobytes(), digest_size=8).digest(), "little", signed=True) for i in full]
+            ids = [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in full]
             yield pd.DataFrame({"row": pdf["row"].to_numpy()[full], "set": ids, "size": [len(sets[i]) for i in full], "tokens": list(mins.view(np.int32)), **{f"k{j}": sketch[:, j] for j in range(4)}})
 
 
@@ -95,16 +95,13 @@ def sketch_limit(threshold: float) -> int:
 
 
 def _sketched(limit: int):
-    """Edges of pairs of blocks of a large bucket: pairs that a set far from the pivot is in, and differ up to ``limit``."""
+    """Edges that connect what some far sets of a bucket and some of all its sets, a slice and a block, are near."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("set")
-        low, high = pdf["block_a"].iloc[0], pdf["block_b"].iloc[0]
-        block, ids, far = pdf["block"].to_numpy(), pdf["set"].to_numpy(), pdf["far"].to_numpy()
+        code, ids = pd.factorize(pdf["set"], sort=True)
         sketch = pdf[[f"k{j}" for j in range(4)]].to_numpy().view(np.uint64)
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        if not len(right):
-            left = left[:0]
+        far = pdf["far"].to_numpy()
+        left, right = np.flatnonzero(far), np.flatnonzero(~far)
         found_a, found_b, found_d = [], [], []
         for at in range(0, len(left), 128):
             mine = left[at : at + 128]
@@ -113,12 +110,11 @@ def _sketched(limit: int):
                 x = sketch[mine, j][:, None] ^ sketch[right, j][None, :]
                 x |= x >> np.uint64(1)
                 differ += np.bitwise_count((x | x >> np.uint64(2)) & np.uint64(_NIBBLE))
-            near = (differ <= limit) & (far[mine][:, None] | far[right][None, :]) & (mine[:, None] != right[None, :])
-            a, b = np.nonzero(near)
-            # Of these edges a spanning forest is enough to tell what is together; the closest of each set stay besides.
-            found_a.append(mine[a]), found_b.append(right[b]), found_d.append(differ[a, b])
+            a, b = np.nonzero((differ <= limit) & (code[mine][:, None] != code[right][None, :]))
+            found_a.append(code[mine[a]]), found_b.append(code[right[b]]), found_d.append(differ[a, b])
         if not found_a:
             return pd.DataFrame({"a": ids[:0], "b": ids[:0], "differ": np.zeros(0, np.int32)})
+        # Of these edges a spanning forest is enough to tell what is together; the closest of each set stay besides.
         a, b, d = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_d).astype(np.int32)
         root = _local_roots(len(ids), a, b)
         order = np.argsort(d, kind="stable")
@@ -130,16 +126,34 @@ def _sketched(limit: int):
     return one
 
 
-def _blockwise(placed: DataFrame, limit: int, block_rows: int = 1024) -> DataFrame:
-    """Edges ``(a, b, differ)`` that connect what the sets of ``placed`` far from their pivot are near, block by block."""
-    rows = placed.select("node", "set", (F.col("differ") > limit).alias("far"), *(f"k{j}" for j in range(4)))
-    pairs = block_pairs(rows, ["node"], "set", block_rows)
-    return pairs.groupBy("node", "block_a", "block_b").applyInPandas(_sketched(limit), "a long, b long, differ int")
+def _blockwise(placed: DataFrame, load: DataFrame, limit: int, slice_rows: int = 512, block_rows: int = 4096) -> DataFrame:
+    """Edges ``(a, b, differ)`` of the far sets of the buckets in ``load(node, members, n_far)`` with all sets there.
+
+    The far sets of a bucket are dealt to slices and all its sets to blocks; a task meets one slice and one block, so
+    it is bounded, and the rows are as many as the sets times the slices, few where few sets are far.
+    """
+    sized = load.select("node", F.ceil(F.col("n_far") / F.lit(slice_rows)).cast("int").alias("slices"), F.ceil(F.col("members") / F.lit(block_rows)).cast("int").alias("blocks"))
+    rows = placed.join(sized, "node")
+    sketch = [f"k{j}" for j in range(4)]
+    dealt = lambda c, seed: F.pmod(F.xxhash64("set", F.lit(seed)), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    far = rows.where(F.col("differ") > limit).select("node", dealt("slices", 3).alias("slice"), each("blocks").alias("block"), F.lit(True).alias("far"), "set", *sketch)
+    others = rows.select("node", each("slices").alias("slice"), dealt("blocks", 4).alias("block"), F.lit(False).alias("far"), "set", *sketch)
+    kind = placed.schema["set"].dataType.simpleString()
+    return far.unionByName(others).groupBy("node", "slice", "block").applyInPandas(_sketched(limit), f"a {kind}, b {kind}, differ int")
 
 
-def _run(sets: DataFrame, run: int, limit: int, threshold: float, bucket_rows: int, depth: int) -> DataFrame:
-    """Candidate edges ``(a, b, differ)`` of one run."""
+def _run(sets: DataFrame, run: int, limit: int, threshold: float, bucket_rows: int, depth: int, direct_pairs: int = 1 << 26) -> DataFrame:
+    """Candidate edges ``(a, b, differ)`` of one run.
+
+    Large buckets are compared directly up to ``direct_pairs`` pairs of a far set and another, else split again.
+    """
     sketch = [f"k{j}" for j in range(4)]
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
 
     def split(rows: DataFrame, node: Column) -> DataFrame:
         """Two token positions sampled for each node; a set goes on to one child by each."""
@@ -147,45 +161,45 @@ def _run(sets: DataFrame, run: int, limit: int, threshold: float, bucket_rows: i
             place = F.pmod(F.xxhash64(node, F.lit(n)), F.lit(TOKENS // 2)).cast("int") * 2 + F.lit(n + 1)
             return F.xxhash64(node, place, F.element_at("tokens", place))
 
-        return rows.withColumn("node", F.explode(F.array(child(0), child(1)))).select("node", "set", "tokens", *sketch)
+        return rows.withColumn("node", F.explode(F.array(child(0), child(1)))).select("node", "set", *sketch)
 
     drawn = F.struct(F.xxhash64("set", F.lit(run)), "set")  # another pivot in each run
     edges, rows = [], split(sets, F.lit(run))
     for level in range(depth):
-        rows = written(rows, "buckets")
+        rows = kept(rows, "buckets")
         pivots = rows.groupBy("node").agg(F.min_by("set", drawn).alias("pivot"), *(F.min_by(k, drawn).alias(f"p{k[1]}") for k in sketch), F.count("*").alias("members")).where("members > 1")
-        pivots = written(pivots, "pivots")
-        placed = rows.join(pivots, "node").withColumn("differ", _differ("k", "p"))
-        placed = written(placed.select("node", "set", "pivot", "members", "differ", *sketch), "placed")
-        edges.append(placed.where((F.col("set") != F.col("pivot")) & (F.col("differ") <= limit)).select(F.col("set").alias("a"), F.col("pivot").alias("b"), "differ"))
-        alone, last = placed.where(F.col("differ") > limit), level == depth - 1
-        far = alone.where(F.col("members") > bucket_rows)
-        alone = alone.where(F.col("members") <= bucket_rows)
-        mine = alone.select("node", F.col("set").alias("a"), *(F.col(k).alias(f"u{k[1]}") for k in sketch))
-        others = placed.select("node", F.col("set").alias("b"), *(F.col(k).alias(f"v{k[1]}") for k in sketch))
+        placed = rows.join(kept(pivots, "pivots"), "node").withColumn("differ", _differ("k", "p"))
+        placed = kept(placed.select("node", "set", "pivot", "members", "differ", *sketch), "placed")
+        is_far = F.col("differ") > limit
+        edges.append(placed.where((F.col("set") != F.col("pivot")) & ~is_far).select(F.col("set").alias("a"), F.col("pivot").alias("b"), "differ"))
+        # A small bucket meets as a whole.
+        small, large = placed.where(F.col("members") <= bucket_rows), placed.where(F.col("members") > bucket_rows)
+        mine = small.where(is_far).select("node", F.col("set").alias("a"), *(F.col(k).alias(f"u{k[1]}") for k in sketch))
+        others = small.select("node", F.col("set").alias("b"), *(F.col(k).alias(f"v{k[1]}") for k in sketch))
         met = mine.join(others, "node").where((F.col("a") != F.col("b")) & (_differ("u", "v") <= limit))
         edges.append(met.select("a", "b", _differ("u", "v").alias("differ")))
-        if last:
-            large = placed.where(F.col("members") > bucket_rows).join(far.select("node").distinct(), "node", "left_semi")
-            edges.append(written(_blockwise(large, limit), "blocks"))
-            break
-        # Large buckets that hold sets far from the pivot are split again, all of their sets with them.
-        more = written(placed.join(far.select("node").distinct(), "node", "left_semi").select("node", "set"), "more")
-        if more.isEmpty():
+        load = kept(large.groupBy("node", "members").agg(F.count(F.when(is_far, 1)).alias("n_far")).where("n_far > 0"), "load")
+        last = level == depth - 1
+        few = F.col("n_far") * F.col("members") <= direct_pairs
+        edges.append(kept(_blockwise(large, load if last else load.where(few), limit), "blocks"))
+        more = load.where(~few).select("node")
+        if last or more.isEmpty():
             break
-        rows = split(more.join(sets.select("set", "tokens", *sketch), "set"), F.col("node"))
+        rows = split(large.join(more, "node", "left_semi").select("node", "set").join(sets.select("set", "tokens", *sketch), "set"), F.col("node"))
     found = edges[0]
     for e in edges[1:]:
         found = found.unionByName(e)
     found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "differ").distinct()
-    return written(found, "candidates")
+    found = written(found, "candidates")
+    for t in made:
+        drop_written(t)
+    return found
 
 
 def _sets_of(batches):
     known: dict[bytes, int] = {}
     for whole in batches:
-        for at in range(0, len(whole), _ROWS):
-            pdf = whole.iloc[at : at + _ROWS]
+        for pdf in runs_of_rows(whole, "text"):
             if len(known) > 200_000:
                 known.clear()
             yield pd.DataFrame({"set": pdf["set"], "group": pdf["group"], "weight": pdf["weight"], "codes": [shingles(t, known).tobytes() for t in pdf["text"]]})
@@ -232,7 +246,7 @@ def _compare(threshold: float):
         links = np.zeros(len(rows), np.int64)
         np.add.at(links, a, weight[b])
         np.add.at(links, b, weight[a])
-        ids = np.array([r[0] for r in rows], np.int64)
+        ids = np.array([r[0] for r in rows], object)
         out = pd.DataFrame({"set": ids, "links": links, "root": ids[_local_roots(len(rows), a, b)]})
         return out[links > 0]
 
@@ -248,7 +262,7 @@ def _compare(threshold: float):
                     key, held = now, []
                 held.append(r)
             if done:
-                yield pd.concat(done) if any(map(len, done)) else pd.DataFrame({"set": [], "links": [], "root": []}).astype(np.int64)
+                yield pd.concat(done) if any(map(len, done)) else pd.DataFrame({"set": [], "links": [], "root": []})
                 done = []
         if held:
             last = one(held)
@@ -258,21 +272,31 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.999, runs: int = 3, max_runs: int = 12, bucket_rows: int = 200, depth: int = 4, block_rows: int = 256, small: int = 500_000) -> DataFrame:
-    """One row per row of ``docs``: key, ``class_id``, ``n_links`` and ``kept``.
+def _paired_blocks(coded: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
+    """Each group dealt to blocks of about so many rows or bytes, and each row to the pairs of blocks it belongs to."""
+    sizes = coded.groupBy("group").agg(F.count("*").alias("members"), F.sum(F.length("codes")).alias("bytes")).where("members > 1")
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(block_rows), F.col("bytes") / F.lit(block_bytes))).cast("int")
+    sized = sizes.select("group", blocks.alias("blocks"))
+    dealt = coded.join(sized, "group").withColumn("block", F.pmod(F.xxhash64("set", F.lit(3)), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.999, runs: int = 3, max_runs: int = 40, bucket_rows: int = 200, depth: int = 4, block_rows: int = 1024, block_bytes: int = 8 << 20, small: int = 500_000) -> DataFrame:
+    """One row per row of ``docs``: key, ``class_id``, ``n_links`` and ``kept``; ``row`` and ``class`` tell rows and groups.
 
     Documents are linked if the Jaccard similarity of their five-word shingle sets is at least ``threshold``;
     ``n_links`` counts the other rows linked directly, ``class_id`` is the least key reachable by links (the own
     one included), and ``kept`` marks the row whose key that is. A text that is null or blank has no shingles and
     links with nothing. Rows may repeat: equal rows link with each other and are kept alike. A null key counts as
-    larger than any other and is kept if its class has no other key. Empty tables give empty results.
+    larger than any other and is kept if its class has no other key. Texts of any length are compared whole. Empty
+    tables give empty results; other columns are ignored.
     The method may miss links; runs are repeated until one of them finds less than ``1 - recall`` outside what is
-    already together (at most ``max_runs``). Every link it reports is exact.
+    already together. Should ``max_runs`` end that before, an error says so. Every link it reports is exact.
     """
     spark = docs.sparkSession
-    row = F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("row")
-    rows = docs.select(F.col(key).alias("key"), row, F.col(text).alias("text"))
-    schema = "row long, set long, size int, tokens array<int>, k0 long, k1 long, k2 long, k3 long"
+    rows = docs.select(F.col(key).alias("key"), row_id(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    schema = "row binary, set binary, size int, tokens array<int>, k0 long, k1 long, k2 long, k3 long"
     embedded = written(rows.select("row", "text").mapInPandas(_embed, schema), "embedded")
     first = F.first(F.struct("tokens", "k0", "k1", "k2", "k3")).alias("s")
     sets = embedded.groupBy("set").agg(F.count("*").alias("weight"), F.min("row").alias("row"), first)
@@ -285,7 +309,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     for r in range(1, runs):
         edges = edges.unionByName(_run(sets, r, limit, threshold, bucket_rows, depth))
     groups = connected(edges.select("a", "b"), "groups")
-    for r in range(runs, max_runs):
+    for r in range(runs, max_runs + 1):
+        if r == max_runs:
+            raise RuntimeError(f"{max_runs} runs do not reach the asked recall")
         more = _run(sets, r, limit, threshold, bucket_rows, depth)
         home = groups.select(F.col("node").alias("a"), F.col("root").alias("x")), groups.select(F.col("node").alias("b"), F.col("root").alias("y"))
         seen = more.where(F.col("differ") <= likely).join(home[0], "a", "left").join(home[1], "b", "left")
@@ -301,12 +327,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     chosen = written(chosen, "chosen")
     if chosen.count() <= small:  # counted: else the texts are shuffled by row
         chosen = F.broadcast(chosen)
-    texts = rows.select("row", "text").join(chosen, "row").dropDuplicates(["set"])  # equal rows share a row hash
-    coded = written(texts.mapInPandas(_sets_of, "set long, group long, weight long, codes binary"), "codes")
-    pairs = block_pairs(coded, ["group"], "set", block_rows)
+    texts = rows.select("row", "text").join(chosen, "row").dropDuplicates(["set"])  # equal rows share a row id
+    coded = written(texts.mapInPandas(_sets_of, "set binary, group binary, weight long, codes binary"), "codes")
+    pairs = _paired_blocks(coded, block_rows, block_bytes)
     keys = ["group", "block_a", "block_b"]
     dealt = pairs.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    found = written(dealt.mapInPandas(_compare(threshold), "set long, links long, root long"), "links")
+    found = written(dealt.mapInPandas(_compare(threshold), "set binary, links long, root binary"), "links")
     drop_written(coded)
 
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
