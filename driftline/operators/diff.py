@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-import pandas as pd
+from driftline.operators.matching import one_to_one
 
 
 def label_diff(previous: DataFrame, current: DataFrame, by: list[str], key: str) -> DataFrame:
@@ -27,32 +27,42 @@ def change_counts(changes: DataFrame, by: list[str]) -> DataFrame:
 def rename_candidates(changes: DataFrame, by: list[str], key: str, threshold: float = 0.8) -> DataFrame:
     """Removed and added labels of a group whose token sets have at least that Jaccard similarity.
 
-    Pairs meet on a shared token, so a group is never multiplied out.
+    Pairs meet on a token of both prefixes: of the rarest tokens, of which one set of n needs n - ceil(t n) + 1 for no
+    pair to be lost. Frequent tokens are in no prefix, so a group is never multiplied out.
     """
     tokens = F.array_distinct(F.filter(F.split(key, " "), lambda t: t != ""))
-    rows = changes.where("op <> 'kept'").select(*by, "op", key, tokens.alias("tokens"))
-    one = rows.withColumn("token", F.explode("tokens"))
-    removed = one.where("op = 'removed'").select(*by, "token", F.col(key).alias("removed"), F.size("tokens").alias("n_removed"))
-    added = one.where("op = 'added'").select(*by, "token", F.col(key).alias("added"), F.size("tokens").alias("n_added"))
-    shared = removed.join(added, [*by, "token"]).groupBy(*by, "removed", "added", "n_removed", "n_added").agg(F.count("*").alias("n"))
-    score = F.col("n") / (F.col("n_removed") + F.col("n_added") - F.col("n"))
-    return shared.withColumn("score", score).where(F.col("score") >= threshold).select(*by, "removed", "added", "score")
+    rows = changes.where("op <> 'kept'").select(*by, "op", key, tokens.alias("tokens")).where(F.size("tokens") > 0)
+    counts = rows.select(*by, F.explode("tokens").alias("token")).groupBy(*by, "token").agg(F.count("*").alias("n"))
+    each = rows.select(*by, "op", key, F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(counts, [*by, "token"])
+    ordered = each.groupBy(*by, "op", key, "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("rare"))
+    prefix = F.slice("rare", F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9).cast("int") + 1)
+    all_tokens = F.transform("rare", lambda x: x["token"])
+    one = ordered.select(*by, "op", key, all_tokens.alias("tokens"), F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
+    side = lambda op: one.where(F.col("op") == op).select(*by, "token", F.col(key).alias(op), F.col("tokens").alias(f"{op}_tokens"))
+    a, b = F.size("removed_tokens"), F.size("added_tokens")
+    fits = F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9
+    met = side("removed").join(side("added"), [*by, "token"]).where(fits).drop("token").dropDuplicates([*by, "removed", "added"])
+    shared = F.size(F.array_intersect("removed_tokens", "added_tokens"))
+    return met.withColumn("score", shared / (a + b - shared)).where(F.col("score") >= threshold).select(*by, "removed", "added", "score")
 
 
 def renames(candidates: DataFrame, by: list[str]) -> DataFrame:
     """One to one: removed labels in order each take the best label that is still free, the first of equals."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for _, own in pdf.sort_values(["removed", "score", "added"], ascending=[True, False, True]).groupby("removed", sort=True):
-            for r in own.itertuples():
-                if r.added not in used:
-                    used.add(r.added)
-                    rows.append({**{b: getattr(r, b) for b in by}, "removed": r.removed, "added": r.added, "score": r.score})
-                    break
-        return pd.DataFrame(rows, columns=[*by, "removed", "added", "score"])
-
-    return candidates.groupBy(*by).applyInPandas(run, candidates.select(*by, "removed", "added", "score").schema)
+    rows = candidates.withColumns({"block": F.to_json(F.struct(*by)), "left": F.col("removed"), "right": F.col("added")})
+    # A removed label prefers the best score, an added one the first of the removed labels.
+    first = -F.dense_rank().over(Window.partitionBy(*by).orderBy("removed"))
+    rows = rows.withColumn("first", first)
+    return one_to_one(rows, [F.col("score")], [F.col("first")]).select(*by, "removed", "added", "score")
+
+
+def without_renamed(changes: DataFrame, renamed: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Changes in which a renamed label is one row: op renamed under its new name, with the old one, and its score."""
+    old = renamed.select(*by, F.col("removed").alias(key), F.lit("removed").alias("op"))
+    new = renamed.select(*by, F.col("added").alias(key), F.lit("added").alias("op"))
+    rest = changes.join(old.unionByName(new), [*by, key, "op"], "left_anti")
+    none = F.lit(None)
+    rows = rest.select(*by, key, "op", none.cast("string").alias("previous"), none.cast("double").alias("score"))
+    return rows.unionByName(renamed.select(*by, F.col("added").alias(key), F.lit("renamed").alias("op"), F.col("removed").alias("previous"), "score"))
 
 
 def footnote_diff(previous: DataFrame, current: DataFrame, by: list[str], note: str, text: str) -> DataFrame:

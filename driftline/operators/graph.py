@@ -47,9 +47,9 @@ def connected(edges: DataFrame, name: str = "components", max_rounds: int = 40)
 
 def _merge_families(cap: int):
     def run(edges: pd.DataFrame) -> pd.DataFrame:
-        """Strongest edge first; a weak edge never joins two formed families, and no family outgrows the cap."""
+        """Best edge first; a weak edge never joins two formed families, and no family outgrows the cap."""
         family: dict = {}
-        for e in edges.sort_values(["strong", "score", "a", "b"], ascending=[False, False, True, True]).itertuples():
+        for e in edges.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples():
             left, right = family.setdefault(e.a, {e.a}), family.setdefault(e.b, {e.b})
             if left is right or len(left) + len(right) > cap or (not e.strong and len(left) > 1 and len(right) > 1):
                 continue
@@ -65,6 +65,11 @@ def _merge_families(cap: int):
 def families(edges: DataFrame, cap: int = 10) -> DataFrame:
     """Constrained merging of ``edges(block, a, b, score, strong)``: ``(block, node, family, members)``.
 
-    Edges never cross blocks (a section of a pair of documents, say), which bounds what one task holds.
+    A family never leaves a connected component of the edges, so components are worked independently, in parallel.
     """
-    return edges.groupBy("block").applyInPandas(_merge_families(cap), "node long, family long, members long, block string")
+    node = lambda c: F.xxhash64("block", c)
+    rows = written(edges.select("block", "a", "b", "score", "strong", node("a").alias("_a"), node("b").alias("_b")), "edges")
+    home = connected(rows.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("_a"), "root")
+    kind = edges.schema["a"].dataType.simpleString()
+    schema = f"node {kind}, family {kind}, members long, block {edges.schema['block'].dataType.simpleString()}"
+    return rows.join(home, "_a").drop("_a", "_b").groupBy("root").applyInPandas(_merge_families(cap), schema)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.graph import connected
+from driftline.sources.scratch import drop_written, written
+
 
 def top_k(pairs: DataFrame, side: str, other: str, k: int) -> DataFrame:
     """Each row's best ``k`` candidates, ties by the other side's id; the rank is added as ``rank``."""
@@ -29,20 +32,42 @@ def clear_margin(pairs: DataFrame, margin: float) -> DataFrame:
     return ranked.select("block", "left", "right", "score", second.alias("second"), (F.col("score") - second >= margin).alias("clear"))
 
 
-def greedy(pairs: DataFrame, minimum: float) -> DataFrame:
-    """Highest score first (ties by ids), each row used once. Order-dependent, so one task works a block."""
+def one_to_one(pairs: DataFrame, best: list[Column], right_best: list[Column] | None = None, max_rounds: int = 200) -> DataFrame:
+    """Pairs ``(block, left, right, ...)`` taken best first, each row of either side once, in rounds over all blocks.
+
+    ``best`` are columns by which a larger value is better; ties go to the lesser left, then right id. A pair that is
+    the best left for both its rows is taken, its rows' other pairs go, and so on until none is left: the same pairs
+    as from one sorted list, but with grouped maxima and joins, and no block in one task. With ``right_best`` the
+    right side has an order of its own; the two orders must not run in a circle.
+    """
+    spark = pairs.sparkSession
+    kind = {c: pairs.schema[c].dataType for c in ("left", "right")}
+    ranked = pairs.withColumn("_l", F.struct(*(c.alias(f"b{i}") for i, c in enumerate(best))))
+    ranked = ranked.withColumn("_r", F.struct(*(c.alias(f"b{i}") for i, c in enumerate(right_best))) if right_best else F.col("_l"))
+    left = written(ranked, "pairs")
+    taken = None
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        by_left = Window.partitionBy("block", "left").orderBy(F.desc("_l"), "left", "right")
+        by_right = Window.partitionBy("block", "right").orderBy(F.desc("_r"), "left", "right")
+        won = left.withColumns({"_i": F.row_number().over(by_left), "_j": F.row_number().over(by_right)}).where("_i = 1 and _j = 1").drop("_i", "_j")
+        won = written(won, "won")
+        taken = won if taken is None else taken.unionByName(won)
+        rest = left.join(won.select("block", "left"), ["block", "left"], "left_anti").join(won.select("block", "right"), ["block", "right"], "left_anti")
+        rest = written(rest, "pairs")
+        drop_written(left)
+        left = rest
+    else:
+        raise RuntimeError(f"pairs are left after {max_rounds} rounds")
+    if taken is None:
+        taken = spark.createDataFrame([], ranked.schema)
+    return taken.drop("_l", "_r")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, keep = set(), set(), []
-        ordered = pdf[pdf["score"] >= minimum].sort_values(["score", "left", "right"], ascending=[False, True, True])
-        for i, a, b in zip(ordered.index, ordered["left"], ordered["right"], strict=True):
-            if a not in left and b not in right:
-                left.add(a)
-                right.add(b)
-                keep.append(i)
-        return pdf.loc[keep]
 
-    return pairs.groupBy("block").applyInPandas(run, pairs.schema)
+def greedy(pairs: DataFrame, minimum: float) -> DataFrame:
+    """Highest score first (ties by ids), each row used once."""
+    return one_to_one(pairs.where(F.col("score") >= minimum), [F.col("score")]).select(pairs.columns)
 
 
 def _assign(cost: np.ndarray) -> np.ndarray:
@@ -76,21 +101,22 @@ def _assign(cost: np.ndarray) -> np.ndarray:
 def optimal(pairs: DataFrame, minimum: float) -> DataFrame:
     """The assignment of highest total score; a row stays unmatched rather than take a pair below ``minimum``.
 
-    Blocks (a pair of documents) are solved in one task each; a column of its own lets any row stay free.
+    Rows that no chain of such pairs connects are matched independently, so each connected component is solved by
+    itself, in parallel; a component is what one task has to hold. A column of its own lets any row stay free.
     """
+    node = lambda side: F.xxhash64("block", F.lit(side), side)
+    good = pairs.where(F.col("score") >= minimum).withColumns({"_a": node("left"), "_b": node("right")})
+    good = written(good, "edges")
+    home = connected(good.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("_a"), "root")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        good = pdf[pdf["score"] >= minimum]
-        if not len(good):
-            return good
-        rows, cols = np.unique(good["left"]), np.unique(good["right"])
+        rows, r = np.unique(pdf["left"], return_inverse=True)
+        cols, c = np.unique(pdf["right"], return_inverse=True)
         gain = np.zeros((len(rows), len(cols) + len(rows)))
-        r, c = np.searchsorted(rows, good["left"]), np.searchsorted(cols, good["right"])
-        gain[r, c] = good["score"]
-        taken = _assign(-gain)
-        return good[(taken[r] == c)]
+        gain[r, c] = pdf["score"]
+        return pdf[_assign(-gain)[r] == c].drop(columns="root")
 
-    return pairs.groupBy("block").applyInPandas(run, pairs.schema)
+    return good.join(home, "_a").select(*pairs.columns, "root").groupBy("root").applyInPandas(run, pairs.schema)
 
 
 def unmatched(rows: DataFrame, matched: DataFrame, side: str) -> DataFrame:
@@ -98,19 +124,96 @@ def unmatched(rows: DataFrame, matched: DataFrame, side: str) -> DataFrame:
     return rows.join(matched.select("block", side), ["block", side], "left_anti")
 
 
-def tfidf_pairs(chunks: DataFrame, block: str, chunk: str, side: str, tokens: str) -> DataFrame:
-    """TF-IDF cosine of every pair of a previous and a current chunk that share a token, inside a block.
+def _tiles(rows: DataFrame, size: int) -> DataFrame:
+    """Rows ``(block, side, chunk, ...)`` dealt to tiles: so many of one side at most meet so many of the other in a task.
 
-    Smooth idf over the chunks of both sides, ``ln((1 + n) / (1 + df)) + 1``, and L2 norms. Pairs meet on a token.
+    Every previous row meets every current row of its block in exactly one tile; a row is copied once for each tile of
+    the other side, so a block of any size is worked by many bounded tasks.
+    """
+    n = lambda s: F.ceil(F.count(F.when(F.col("side") == s, 1)) / F.lit(size)).cast("int").alias(s)
+    counts = rows.groupBy("block").agg(n("previous"), n("current")).where("previous > 0 and current > 0")
+    is_left = F.col("side") == "previous"
+    own, other = F.when(is_left, F.col("previous")).otherwise(F.col("current")), F.when(is_left, F.col("current")).otherwise(F.col("previous"))
+    dealt = rows.join(counts, "block").withColumns({"_own": F.pmod(F.xxhash64("chunk"), own).cast("int"), "_other": F.explode(F.sequence(F.lit(0), other - 1))})
+    i, j = F.when(is_left, F.col("_own")).otherwise(F.col("_other")), F.when(is_left, F.col("_other")).otherwise(F.col("_own"))
+    return dealt.withColumns({"_i": i, "_j": j}).drop("previous", "current", "_own", "_other")
+
+
+def _tile_pairs(matrix, minimum: float, best: int = 3):
+    """Pairs of a tile with at least ``minimum``, and of every row its ``best`` of a positive score."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_left = (pdf["side"] == "previous").to_numpy()
+        left, right = pdf[is_left], pdf[~is_left]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"block": [], "left": [], "right": [], "score": []})
+        score = matrix(left, right)
+        keep = score >= minimum
+        for axis, size in ((1, len(right)), (0, len(left))):
+            n = min(best, size)
+            top = np.argpartition(-score, n - 1, axis=axis)
+            np.put_along_axis(keep, top[:, :n] if axis else top[:n], True, axis)
+        a, b = np.nonzero(keep & (score > 0))
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "left": left["chunk"].to_numpy()[a], "right": right["chunk"].to_numpy()[b], "score": score[a, b]})
+
+    return run
+
+
+def _pairs_of(rows: DataFrame, matrix, minimum: float, tile: int) -> DataFrame:
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    schema = f"block {kind('block')}, left {kind('chunk')}, right {kind('chunk')}, score double"
+    return _tiles(rows, tile).groupBy("block", "_i", "_j").applyInPandas(_tile_pairs(matrix, minimum), schema)
+
+
+def _flat(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.repeat(np.arange(len(side)), [len(x) for x in side["words"]])
+    return rows, np.concatenate([np.asarray(x, np.int64) for x in side["words"]]), np.concatenate([np.asarray(x, np.float64) for x in side["weights"]])
+
+
+def _sparse(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Products of sparse unit vectors, by ranges of the words that both sides have."""
+    sides = [(*_flat(left), len(left)), (*_flat(right), len(right))]
+    words = np.intersect1d(sides[0][1], sides[1][1])
+    out = np.zeros((len(left), len(right)))
+    for at in range(0, len(words), 4096):
+        part, dense = words[at : at + 4096], []
+        for r, w, v, n in sides:
+            place = np.minimum(np.searchsorted(part, w), len(part) - 1)
+            hit = part[place] == w
+            m = np.zeros((n, len(part)))
+            m[r[hit], place[hit]] = v[hit]
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return np.minimum(out, 1.0)
+
+
+def _dense(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    def unit(side: pd.DataFrame) -> np.ndarray:
+        x = np.stack(side["vector"].to_numpy()).astype(np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    return np.clip(unit(left) @ unit(right).T, 0.0, 1.0)
+
+
+def vector_pairs(rows: DataFrame, minimum: float, tile: int = 1024) -> DataFrame:
+    """Cosines of previous with current rows ``(block, side, chunk, vector)`` of a block: all of at least ``minimum``, and
+    the best three of every row. Rows without a vector are left out."""
+    return _pairs_of(rows.where("vector is not null"), _dense, minimum, tile)
+
+
+def tfidf_pairs(chunks: DataFrame, block: str, chunk: str, side: str, tokens: str, minimum: float = 0.0, tile: int = 512) -> DataFrame:
+    """TF-IDF cosine of a previous and a current chunk inside a block: all pairs of at least ``minimum`` that share a token,
+    and the best three of every chunk whatever their score.
+
+    Smooth idf over the chunks of both sides, ``ln((1 + n) / (1 + df)) + 1``, and L2 norms. The counts are grouped
+    sums; the products are those of matrices, tile by tile, so a frequent token is no hot key and nothing is written
+    for each pair and token.
     """
     one = chunks.select(F.col(block).alias("block"), F.col(side).alias("side"), F.col(chunk).alias("chunk"), F.explode(tokens).alias("token"))
-    tf = one.groupBy("block", "side", "chunk", "token").agg(F.count("*").alias("tf"))
+    tf = written(one.groupBy("block", "side", "chunk", F.xxhash64("token").alias("token")).agg(F.count("*").alias("tf")), "terms")
     df = tf.groupBy("block", "token").agg(F.count("*").alias("df"))
     n = chunks.groupBy(F.col(block).alias("block")).agg(F.count("*").alias("n"))
     weighted = tf.join(df, ["block", "token"]).join(n, "block").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norms = weighted.groupBy("block", "side", "chunk").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norms, ["block", "side", "chunk"]).select("block", "side", "chunk", "token", (F.col("w") / F.col("norm")).alias("w"))
-    left = unit.where("side = 'previous'").select("block", "token", F.col("chunk").alias("left"), F.col("w").alias("x"))
-    right = unit.where("side = 'current'").select("block", "token", F.col("chunk").alias("right"), F.col("w").alias("y"))
-    score = F.least(F.sum(F.col("x") * F.col("y")), F.lit(1.0)).alias("score")
-    return left.join(right, ["block", "token"]).groupBy("block", "left", "right").agg(score)
+    rows = weighted.groupBy("block", "side", "chunk").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("token", "w")).alias("terms"))
+    rows = rows.select("block", "side", "chunk", F.transform("terms", lambda t: t["token"]).alias("words"), F.transform("terms", lambda t: t["w"] / F.col("norm")).alias("weights"))
+    return _pairs_of(rows, _sparse, minimum, tile)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.functions import period, predicates, similarity, text
+from driftline.functions import labels, period, predicates, similarity, text
 from driftline.operators import diff, graph, matching, metrics, sequence
+from driftline.sources.scratch import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,17 +32,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labels_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct ``(nation, label, year, quarter)``."""
+    """Distinct ``(nation, label, year, quarter)``, the label by its key.
+
+    The labels come as a report prints them: with a note, a date, a unit or a row number, depending on the quarter.
+    Their keys are worked out once a distinct label.
+    """
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"))
     customer = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
-    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("label"))
+    name = F.concat("p_name", F.lit(" of the "), F.lower("p_type"), F.lit(" line by "), F.replace(F.lower("p_brand"), F.lit("#"), F.lit(" ")), F.lit(" in retail stores"))
+    part = read(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     joined = items.join(orders, items.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select("nation", "label", "year", "quarter").distinct()
-
-
-LABELS = """labels AS (SELECT DISTINCT c_nationkey AS nation, p_name AS label, year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)"""
+    printed = F.when(F.col("quarter") == 1, F.concat("name", F.lit(" (1)"))).when(F.col("quarter") == 2, F.concat("name", F.lit(" au 30 avril "), F.col("year").cast("string"))).when(F.col("quarter") == 3, F.concat("name", F.lit(" (en millions de dollars)"))).otherwise(F.concat(F.lit("29 "), "name"))
+    rows = joined.select("nation", printed.alias("printed"), "year", "quarter").distinct()
+    keys = rows.select("printed").distinct().withColumn("label", labels.label_key(F.col("printed")))
+    return rows.join(keys, "printed").select("nation", "label", "year", "quarter").distinct()
+
+
+LABELS = r"""printed AS (SELECT DISTINCT c_nationkey AS nation, year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter,
+  CASE quarter(o_orderdate) WHEN 1 THEN name || ' (1)' WHEN 2 THEN name || ' au 30 avril ' || year(o_orderdate) WHEN 3 THEN name || ' (en millions de dollars)' ELSE '29 ' || name END AS printed
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN (SELECT p_partkey, p_name || ' of the ' || lower(p_type) || ' line by ' || replace(lower(p_brand), '#', ' ') || ' in retail stores' AS name FROM part) ON l_partkey = p_partkey),
+  bare AS (SELECT nation, year, quarter, regexp_replace(regexp_replace(printed, '^[0-9]{1,3} +', ''), ' *(\([0-9]+\)|au [0-9]+ [a-z]+ [0-9]{4}|\(en millions de dollars\))$', '') AS label FROM printed),
+  labels AS (SELECT DISTINCT nation, year, quarter, array_to_string(list_transform(string_split(label, ' '), lambda w: CASE WHEN length(w) > 3 AND right(w, 1) = 's' THEN left(w, length(w) - 1) ELSE w END), ' ') AS label FROM bare)"""
 #: Pairs of a period and the one it is compared with, where both exist.
 PAIRS = f"""{LABELS}, periods AS (SELECT DISTINCT nation, year, quarter FROM labels),
   pairs AS (SELECT a.nation, a.year, a.quarter, b.year AS prev_year, b.quarter AS prev_quarter FROM periods a JOIN periods b ON a.nation = b.nation
@@ -79,19 +92,29 @@ _RENAMES = f"""WITH {PAIRS}, t AS (SELECT nation, year, quarter, op, label, list
 SELECT a.nation, a.year, a.quarter, a.label AS removed, b.label AS added,
   round(len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))), 6) AS score
 FROM t a JOIN t b ON a.op = 'removed' AND b.op = 'added' AND a.nation = b.nation AND a.year = b.year AND a.quarter = b.quarter
-WHERE len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))) >= 0.3"""
+WHERE len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))) >= 0.8"""
 
 
 @query(_RENAMES)
 def rename_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = diff.rename_candidates(label_changes_of(spark, sf_dir), ["nation", "year", "quarter"], "label", 0.3)
+    found = diff.rename_candidates(label_changes_of(spark, sf_dir), ["nation", "year", "quarter"], "label", 0.8)
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {PAIRS} SELECT nation, year, quarter, count(*) FILTER (op = 'added') AS n_added, count(*) FILTER (op = 'removed') AS n_removed FROM changes WHERE op <> 'kept' GROUP BY ALL")
+def label_counts_with_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added and removed labels counted from the table in which renamed ones are one row: both counts come out whole."""
+    by = ["nation", "year", "quarter"]
+    changes = written(label_changes_of(spark, sf_dir).where("op <> 'kept'"), "changes")
+    found = diff.without_renamed(changes, diff.renames(diff.rename_candidates(changes, by, "label", 0.8), by), by, "label")
+    n = lambda op: F.count(F.when(F.col("op").isin(op, "renamed"), 1))
+    return found.groupBy(*by).agg(n("added").alias("n_added"), n("removed").alias("n_removed"))
+
+
 @query()
 def label_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["nation", "year", "quarter"]
-    return diff.renames(diff.rename_candidates(label_changes_of(spark, sf_dir), by, "label", 0.3), by)
+    return diff.renames(diff.rename_candidates(label_changes_of(spark, sf_dir), by, "label", 0.8), by)
 
 
 @query(
@@ -111,28 +134,33 @@ def label_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT o_custkey AS cust, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
-notes AS (SELECT cust, n, l_linenumber AS note, l_returnflag || l_linestatus || (l_quantity::INT % 3) AS text FROM lineitem JOIN c ON l_orderkey = o_orderkey WHERE n <= 2),
-a AS (SELECT * FROM notes WHERE n = 1), b AS (SELECT * FROM notes WHERE n = 2),
-a1 AS (SELECT *, row_number() OVER (PARTITION BY cust, note, text) AS k FROM a), b1 AS (SELECT *, row_number() OVER (PARTITION BY cust, note, text) AS k FROM b),
-same1 AS (SELECT cust, note, text FROM a1 JOIN b1 USING (cust, note, text, k)),
-a2 AS (SELECT cust, note, text, row_number() OVER (PARTITION BY cust, text ORDER BY note) AS k FROM a1 ANTI JOIN b1 USING (cust, note, text, k)),
-b2 AS (SELECT cust, note, text, row_number() OVER (PARTITION BY cust, text ORDER BY note) AS k FROM b1 ANTI JOIN a1 USING (cust, note, text, k)),
-same2 AS (SELECT cust, a2.note AS old_note, b2.note AS new_note, text FROM a2 JOIN b2 USING (cust, text, k)),
-a3 AS (SELECT cust, note, text, row_number() OVER (PARTITION BY cust, note ORDER BY text) AS k FROM a2 ANTI JOIN b2 USING (cust, text, k)),
-b3 AS (SELECT cust, note, text, row_number() OVER (PARTITION BY cust, note ORDER BY text) AS k FROM b2 ANTI JOIN a2 USING (cust, text, k))
-SELECT cust, op, old_note::VARCHAR AS old_note, new_note::VARCHAR AS new_note, old_text, new_text FROM (SELECT cust, 'same' AS op, note AS old_note, note AS new_note, text AS old_text, text AS new_text FROM same1
-UNION ALL SELECT cust, 'same', old_note, new_note, text, text FROM same2
-UNION ALL SELECT cust, 'modified', note, note, a3.text, b3.text FROM a3 JOIN b3 USING (cust, note, k)
-UNION ALL SELECT cust, 'removed', note, NULL, text, NULL FROM a3 ANTI JOIN b3 USING (cust, note, k)
-UNION ALL SELECT cust, 'added', NULL, note, NULL, text FROM b3 ANTI JOIN a3 USING (cust, note, k))"""
+notes AS (SELECT cust, n, l_linenumber AS note, l_returnflag || l_linestatus || (l_quantity::INT % 3) AS text FROM lineitem JOIN c ON l_orderkey = o_orderkey ),
+last AS (SELECT cust, max(n) AS last FROM c GROUP BY 1),
+a AS (SELECT cust, n + 1 AS pair, note, text FROM notes JOIN last USING (cust) WHERE n < last), b AS (SELECT cust, n AS pair, note, text FROM notes WHERE n > 1),
+a1 AS (SELECT *, row_number() OVER (PARTITION BY cust, pair, note, text) AS k FROM a), b1 AS (SELECT *, row_number() OVER (PARTITION BY cust, pair, note, text) AS k FROM b),
+same1 AS (SELECT cust, pair, note, text FROM a1 JOIN b1 USING (cust, pair, note, text, k)),
+a2 AS (SELECT cust, pair, note, text, row_number() OVER (PARTITION BY cust, pair, text ORDER BY note) AS k FROM a1 ANTI JOIN b1 USING (cust, pair, note, text, k)),
+b2 AS (SELECT cust, pair, note, text, row_number() OVER (PARTITION BY cust, pair, text ORDER BY note) AS k FROM b1 ANTI JOIN a1 USING (cust, pair, note, text, k)),
+same2 AS (SELECT cust, pair, a2.note AS old_note, b2.note AS new_note, text FROM a2 JOIN b2 USING (cust, pair, text, k)),
+a3 AS (SELECT cust, pair, note, text, row_number() OVER (PARTITION BY cust, pair, note ORDER BY text) AS k FROM a2 ANTI JOIN b2 USING (cust, pair, text, k)),
+b3 AS (SELECT cust, pair, note, text, row_number() OVER (PARTITION BY cust, pair, note ORDER BY text) AS k FROM b2 ANTI JOIN a2 USING (cust, pair, text, k))
+SELECT cust, pair, op, old_note::VARCHAR AS old_note, new_note::VARCHAR AS new_note, old_text, new_text FROM (SELECT cust, pair, 'same' AS op, note AS old_note, note AS new_note, text AS old_text, text AS new_text FROM same1
+UNION ALL SELECT cust, pair, 'same', old_note, new_note, text, text FROM same2
+UNION ALL SELECT cust, pair, 'modified', note, note, a3.text, b3.text FROM a3 JOIN b3 USING (cust, pair, note, k)
+UNION ALL SELECT cust, pair, 'removed', note, NULL, text, NULL FROM a3 ANTI JOIN b3 USING (cust, pair, note, k)
+UNION ALL SELECT cust, pair, 'added', NULL, note, NULL, text FROM b3 ANTI JOIN a3 USING (cust, pair, note, k))"""
 )
 def footnote_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("n", F.row_number().over(first)).where("n <= 2")
+    """The notes of every order against those of the customer's order before."""
+    w = Window.partitionBy("o_custkey")
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumns({"n": F.row_number().over(w.orderBy("o_orderkey")), "last": F.count("*").over(w)})
     items = read(spark, sf_dir, "lineitem")
     words = F.concat("l_returnflag", "l_linestatus", (F.col("l_quantity").cast("int") % 3).cast("string"))
-    notes = items.join(orders, items.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("cust"), "n", F.col("l_linenumber").alias("note"), words.alias("text"))
-    return diff.footnote_diff(notes.where("n = 1").drop("n"), notes.where("n = 2").drop("n"), ["cust"], "note", "text").withColumns({c: F.col(c).cast("string") for c in ("old_note", "new_note")})
+    notes = items.join(orders, items.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("cust"), "n", "last", F.col("l_linenumber").alias("note"), words.alias("text"))
+    notes = written(notes, "notes")
+    old = notes.where("n < last").select("cust", (F.col("n") + 1).alias("pair"), "note", "text")
+    new = notes.where("n > 1").select("cust", F.col("n").alias("pair"), "note", "text")
+    return diff.footnote_diff(old, new, ["cust", "pair"], "note", "text").withColumns({c: F.col(c).cast("string") for c in ("old_note", "new_note")})
 
 
 @query(
@@ -212,17 +240,16 @@ def review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT nation, o_orderkey, position FROM (SELECT c_nationkey AS nation, o_orderkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY
+    """SELECT o_custkey AS queue, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY
 CASE left(o_orderpriority, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 ELSE 3 END, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS position
-FROM orders JOIN customer ON o_custkey = c_custkey) WHERE position <= 20"""
+FROM orders"""
 )
 def review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     level = F.left("o_orderpriority", F.lit(1))
     action = F.when(level == "1", 0).when(level == "2", 1).when(level == "3", 2).otherwise(3)
     state = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    w = Window.partitionBy("c_nationkey").orderBy(action, state, F.desc("o_totalprice"), "o_orderkey")
-    return rows.withColumn("position", F.row_number().over(w)).where("position <= 20").select(F.col("c_nationkey").alias("nation"), "o_orderkey", "position")
+    w = Window.partitionBy("o_custkey").orderBy(action, state, F.desc("o_totalprice"), "o_orderkey")
+    return read(spark, sf_dir, "orders").withColumn("position", F.row_number().over(w)).select(F.col("o_custkey").alias("queue"), "o_orderkey", "position")
 
 
 @query(
@@ -247,10 +274,10 @@ def section_of_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_suppkey, page, greatest(coalesce(lead(page) OVER (PARTITION BY l_suppkey ORDER BY page) - 1, page + 50), page) AS "end" FROM (SELECT DISTINCT l_suppkey, l_orderkey AS page FROM lineitem WHERE l_linenumber = 1)"""
+    """SELECT l_suppkey, page, greatest(coalesce(lead(page) OVER (PARTITION BY l_suppkey ORDER BY page) - 1, page + 50), page) AS "end" FROM (SELECT DISTINCT l_suppkey, l_orderkey AS page FROM lineitem)"""
 )
 def section_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_suppkey", F.col("l_orderkey").alias("page")).distinct()
+    starts = read(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("page")).distinct()
     return sequence.bounds_from_starts(starts, ["l_suppkey"], "page", F.col("page") + 50)
 
 
@@ -316,12 +343,16 @@ def _vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-s AS (SELECT a.vec_id AS l, b.vec_id AS r, a.label AS label, round(greatest(0, least(1, list_cosine_similarity(a.v, b.v))), 6) AS score FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-x AS (SELECT *, row_number() OVER (PARTITION BY label, l ORDER BY score DESC, r) AS i, row_number() OVER (PARTITION BY label, r ORDER BY score DESC, l) AS j FROM s)
+s AS (SELECT a.vec_id AS l, b.vec_id AS r, a.label AS label, round(greatest(0, least(1, list_cosine_similarity(a.v, b.v))), 6) AS score FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+x AS (SELECT *, row_number() OVER (PARTITION BY label, l ORDER BY score DESC, r) AS i, row_number() OVER (PARTITION BY label, r ORDER BY score DESC, l) AS j FROM s WHERE score > 0)
 SELECT label AS block, l AS "left", r AS "right", score FROM x WHERE i = 1 AND j = 1 AND score >= 0.2"""
 )
 def mutual_best_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.mutual_best(_vector_pairs(spark, sf_dir), 0.2).select("block", "left", "right", "score")
+    """Even ids are one period, odd ones the other; all vectors of both sides compete."""
+    side = F.when(F.col("vec_id") % 2 == 0, "previous").otherwise("current")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("block"), side.alias("side"), F.col("vec_id").alias("chunk"), F.col("embedding").cast("array<double>").alias("vector"))
+    pairs = matching.vector_pairs(rows, 0.2).withColumn("score", F.round("score", 6))
+    return matching.mutual_best(pairs, 0.2).select("block", "left", "right", "score")
 
 
 @query(
@@ -335,9 +366,9 @@ def round_robin_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.round_robin(rows, "query", [F.desc("score"), "vec_id"], "vec_id", 160)
 
 
-_TFIDF = f"""WITH d AS (SELECT (lang || ':' || left(text, 10)) AS block, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'previous' ELSE 'current' END AS side,
-  list_filter(regexp_extract_all(lower(translate(text, '{text.ACCENTED}', '{text.FOLDED}')), '[a-z0-9]{{3,}}'), lambda x: NOT list_contains({text.STOPWORDS!r}, x) AND NOT regexp_full_match(x, '[0-9]+')) AS toks
-  FROM documents WHERE length(text) < 3000),
+_TFIDF = rf"""WITH d AS (SELECT coalesce(lang, '') || ':' || coalesce(source, '') AS block, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'previous' ELSE 'current' END AS side,
+  list_filter(list_transform(regexp_extract_all(translate(lower(text), '{text.ACCENTED}', '{text.FOLDED}'), '[\pL\pN_' || chr(39) || ']+'), lambda x: trim(x, '_' || chr(39))), lambda x: length(x) > 2 AND NOT list_contains({text.STOPWORDS!r}, x) AND NOT regexp_full_match(x, '[0-9]+')) AS toks
+  FROM documents WHERE text IS NOT NULL),
 t AS (SELECT block, side, doc_id, token, count(*) AS tf FROM (SELECT block, side, doc_id, unnest(toks) AS token FROM d) GROUP BY ALL),
 f AS (SELECT block, token, count(*) AS df FROM t GROUP BY ALL), n AS (SELECT block, count(*) AS n FROM d GROUP BY 1),
 w AS (SELECT t.block, side, doc_id, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM t JOIN f USING (block, token) JOIN n USING (block)),
@@ -346,10 +377,12 @@ s AS (SELECT a.block, a.doc_id AS l, b.doc_id AS r, round(least(sum(a.w * b.w),
 x AS (SELECT *, row_number() OVER (PARTITION BY block, l ORDER BY score DESC, r) AS i, row_number() OVER (PARTITION BY block, r ORDER BY score DESC, l) AS j FROM s)"""
 
 
-def _chunk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where(F.length("text") < 3000)
-    rows = docs.select(F.concat("lang", F.lit(":"), F.left("text", F.lit(10))).alias("block"), "doc_id", F.when(F.col("doc_id") % 2 == 0, "previous").otherwise("current").alias("side"), text.tfidf_tokens(F.col("text")).alias("tokens"))
-    return matching.tfidf_pairs(rows, "block", "doc_id", "side", "tokens").withColumn("score", F.round("score", 4))
+def _chunk_pairs(spark: SparkSession, sf_dir: str, minimum: float = 0.24) -> DataFrame:
+    """Whole documents as chunks, even ids of one period and odd ids of the other, met by language and source."""
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    block = F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.coalesce("source", F.lit("")))
+    rows = docs.select(block.alias("block"), "doc_id", F.when(F.col("doc_id") % 2 == 0, "previous").otherwise("current").alias("side"), text.tfidf_tokens(F.col("text")).alias("tokens"))
+    return matching.tfidf_pairs(rows, "block", "doc_id", "side", "tokens", minimum).withColumn("score", F.round("score", 4))
 
 
 @query(f"""{_TFIDF} SELECT block, l AS "left", r AS "right", score FROM x WHERE i = 1 AND j = 1 AND score >= 0.35""")
@@ -399,14 +432,15 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.span_key(t).alias("span_key"), text.compact_key(t).alias("compact_key"), text.block_key(t).alias("block_key"))
 
 
-_W = "list_filter(string_split(trim(regexp_replace(line, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+def _signs(pattern: str) -> str:
+    return f"length(line) - length(regexp_replace(line, '{pattern}', '', 'g'))"
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT doc_id, line, {_W} AS w, length(line) AS n,
-length(line) - length(regexp_replace(line, '[A-Za-zÀ-ÿ]', '', 'g')) AS a, length(line) - length(regexp_replace(line, '[0-9]', '', 'g')) AS d, length(line) - length(regexp_replace(line, '[.;:]', '', 'g')) AS m FROM l)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (len(w) >= 18 AND n >= 120 AND a / n >= 0.45 AND d / n <= 0.2 AND len(list_filter(w, lambda x: length(x) <= 3)) <= 0.5 * len(w)
-AND (m >= 1 OR len(list_filter(w, lambda x: list_contains({predicates.CONNECTORS!r}, lower(x)))) >= 4)) AS n_narrative FROM f GROUP BY 1"""
+    rf"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents), f AS (SELECT doc_id, line, length(line) AS n, regexp_extract_all(line, '[A-Za-zÀ-ÿ]{{2,}}') AS w,
+{_signs(r"\pL")} AS a, {_signs(r"\p{Nd}")} AS d, {_signs("[.;:?!]")} AS m, regexp_extract_all(lower(line), '[\pL\pN_]+') AS toks, len(regexp_extract_all(lower(line), '(?:^|[^\pL\pN_])de plus(?:$|[^\pL\pN_])')) AS more FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (len(w) >= 18 AND n >= 120 AND NOT regexp_matches(line, '[\t|]') AND NOT regexp_matches(line, '(?i)^(?:tableau|table)(?:$|[^\pL\pN_])') AND a >= 0.45 * n AND d <= 0.2 * n
+AND len(list_filter(w, lambda x: length(x) <= 3)) <= 0.5 * len(w) AND (m >= 1 OR len(list_filter(toks, lambda x: list_contains({[c for c in predicates.CONNECTORS if " " not in c]!r}, x))) + more >= 4)) AS n_narrative FROM f GROUP BY 1"""
 )
 def narrative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
@@ -420,21 +454,26 @@ regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading FROM pages WHERE htm
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
     n = lambda p: F.size(F.regexp_extract_all(h, F.lit(p), F.lit(0))).cast("long")
-    return read(spark, sf_dir, "pages").where("html is not null").select("page_id", n("<h[1-6][^>]*>").alias("n_headings"), n("<li[^>]*>").alias("n_items"), predicates.numeric_values(h).cast("long").alias("n_numbers"), F.regexp_extract(h, "<h1[^>]*>([^<]*)</h1>", 1).alias("heading"))
+    return read(spark, sf_dir, "pages").where("html is not null").select("page_id", n("<h[1-6][^>]*>").alias("n_headings"), n("<li[^>]*>").alias("n_items"), n(r"[0-9]+(?:[.,][0-9]+)*").alias("n_numbers"), F.regexp_extract(h, "<h1[^>]*>([^<]*)</h1>", 1).alias("heading"))
 
 
 @query(
-    """SELECT CASE WHEN t = '' THEN 'EMPTY' WHEN regexp_matches(t, '%') THEN 'PERCENT' WHEN regexp_matches(t, '\\$|€|£') THEN 'CURRENCY' WHEN regexp_matches(t, '^(19|20)[0-9]{2}$') THEN 'YEAR'
-WHEN regexp_matches(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'DATE' WHEN regexp_matches(t, '^[-+(]?[0-9][0-9 .,]*\\)?$') THEN 'NUMBER' ELSE 'TEXT' END AS type, count(*) AS n FROM (
-SELECT p_name AS t FROM part UNION ALL SELECT p_size::VARCHAR FROM part UNION ALL SELECT p_retailprice::DECIMAL(12,2)::VARCHAR || ' $' FROM part UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL SELECT year(o_orderdate)::VARCHAR FROM orders) GROUP BY 1"""
+    rf"""WITH c AS (SELECT p_name AS t FROM part UNION ALL SELECT p_size::VARCHAR FROM part UNION ALL SELECT p_retailprice::DECIMAL(12,2)::VARCHAR || ' CAD' FROM part UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders
+UNION ALL SELECT year(o_orderdate)::VARCHAR FROM orders UNION ALL SELECT 'T' || quarter(o_orderdate) || ' ' || year(o_orderdate) FROM orders UNION ALL SELECT CASE p_size % 3 WHEN 0 THEN 'en millions' WHEN 1 THEN p_size || ' pourcentage' ELSE ' - ' END FROM part),
+k AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(lower(translate(t, '{text.ACCENTED}', '{text.FOLDED}')), '[_/-]+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM c)
+SELECT CASE WHEN t = '' THEN 'EMPTY' WHEN regexp_matches(t, 'pourcentage|percent') THEN 'PERCENT' WHEN regexp_matches(t, '\b(dollars?|cad|usd|eur|en millions?|en milliards?|in millions?|in billions?)\b') THEN 'CURRENCY'
+WHEN regexp_matches(t, '\b(au|as at|ended|termine|clos|trimestre|quarter|q[1-4]|t[1-4]|{labels.MONTH_NAMES_FR}|{labels.MONTH_NAMES_EN})\b') THEN 'DATE' WHEN regexp_matches(t, '\b(19|20)[0-9]{{2}}\b') THEN 'YEAR' WHEN regexp_matches(t, '[0-9]') THEN 'NUMBER' ELSE 'TEXT' END AS type, count(*) AS n FROM k GROUP BY 1"""
 )
 def header_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, orders = read(spark, sf_dir, "part"), read(spark, sf_dir, "orders")
-    cells = [part.select(F.col("p_name").alias("t")), part.select(F.col("p_size").cast("string")), part.select(F.concat(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit(" $"))), orders.select(F.date_format("o_orderdate", "yyyy-MM-dd")), orders.select(F.year("o_orderdate").cast("string"))]
+    unit = F.when(F.col("p_size") % 3 == 0, "en millions").when(F.col("p_size") % 3 == 1, F.concat(F.col("p_size").cast("string"), F.lit(" pourcentage"))).otherwise(" - ")
+    quarter = F.concat(F.lit("T"), F.quarter("o_orderdate").cast("string"), F.lit(" "), F.year("o_orderdate").cast("string"))
+    price = F.concat(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit(" CAD"))
+    cells = [part.select(F.col("p_name").alias("t")), part.select(F.col("p_size").cast("string")), part.select(price), orders.select(F.date_format("o_orderdate", "yyyy-MM-dd")), orders.select(F.year("o_orderdate").cast("string")), orders.select(quarter), part.select(unit)]
     rows = cells[0]
     for c in cells[1:]:
         rows = rows.union(c)
-    return rows.select(text.header_type(F.col("t")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return rows.select(labels.header_type(F.col("t")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -457,12 +496,12 @@ def usage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT l_suppkey, l_orderkey FROM lineitem), s AS (SELECT l_suppkey, min(l_orderkey) AS lo, min(l_orderkey) + 200 AS hi FROM lineitem WHERE l_suppkey % 20 = 0 GROUP BY 1)
+    """WITH p AS (SELECT l_suppkey, l_orderkey FROM lineitem), s AS (SELECT l_suppkey, min(l_orderkey) AS lo, min(l_orderkey) + 200 AS hi FROM lineitem GROUP BY 1)
 SELECT s.l_suppkey AS section, count(*) AS n_orders, sum(o_totalprice)::DECIMAL(18,2)::VARCHAR AS total FROM s JOIN orders ON o_orderkey BETWEEN lo AND hi GROUP BY 1"""
 )
 def pages_in_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range join by bins of pages: each section is copied to the bins it touches, then compared exactly."""
-    sections = read(spark, sf_dir, "lineitem").where("l_suppkey % 20 = 0").groupBy(F.col("l_suppkey").alias("section")).agg(F.min("l_orderkey").alias("lo")).withColumn("hi", F.col("lo") + 200)
+    sections = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("section")).agg(F.min("l_orderkey").alias("lo")).withColumn("hi", F.col("lo") + 200)
     size = 100
     binned = sections.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.floor(F.col("o_orderkey") / size).alias("bin"))
