@@ -170,8 +170,8 @@ def _flat(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, np.concatenate([np.asarray(x, np.int64) for x in side["words"]]), np.concatenate([np.asarray(x, np.float64) for x in side["weights"]])
 
 
-def _sparse(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    """Products of sparse unit vectors, by ranges of the words that both sides have."""
+def _products(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Products of sparse vectors, by ranges of the words that both sides have."""
     sides = [(*_flat(left), len(left)), (*_flat(right), len(right))]
     words = np.intersect1d(sides[0][1], sides[1][1])
     out = np.zeros((len(left), len(right)))
@@ -184,7 +184,18 @@ def _sparse(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
             m[r[hit], place[hit]] = v[hit]
             dense.append(m)
         out += dense[0] @ dense[1].T
-    return np.minimum(out, 1.0)
+    return out
+
+
+def _sparse(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    return np.minimum(_products(left, right), 1.0)
+
+
+def _overlaps(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Jaccard similarity of word sets; 1 where half of the smaller set is shared, as one text may hold the other."""
+    size = lambda side: np.array([len(x) for x in side["words"]], np.float64)
+    both, a, b = _products(left, right), size(left)[:, None], size(right)[None, :]
+    return np.where(both >= 0.5 * np.minimum(a, b), 1.0, both / np.maximum(a + b - both, 1.0))
 
 
 def _dense(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
@@ -201,6 +212,13 @@ def vector_pairs(rows: DataFrame, minimum: float, tile: int = 1024) -> DataFrame
     return _pairs_of(rows.where("vector is not null"), _dense, minimum, tile)
 
 
+def overlap_pairs(rows: DataFrame, minimum: float, tile: int = 512) -> DataFrame:
+    """Pairs of previous and current rows ``(block, side, chunk, words)``, distinct hashes of words, whose sets overlap by
+    ``minimum`` or of which one may hold the other; what the texts then come to is for the caller to work out."""
+    ones = F.transform("words", lambda _: F.lit(1.0))
+    return _pairs_of(rows.where(F.size("words") > 0).withColumn("weights", ones), _overlaps, minimum, tile).where(F.col("score") >= minimum)
+
+
 def tfidf_pairs(chunks: DataFrame, block: str, chunk: str, side: str, tokens: str, minimum: float = 0.0, tile: int = 512) -> DataFrame:
     """TF-IDF cosine of a previous and a current chunk inside a block: all pairs of at least ``minimum`` that share a token,
     and the best three of every chunk whatever their score.

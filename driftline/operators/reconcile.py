@@ -10,7 +10,9 @@ from driftline.functions.labels import label_key
 from driftline.functions.similarity import candidate_score, cosine
 from driftline.functions.text import blank, compact_key, let, meaningful_tokens, squeezed
 from driftline.operators.alignment import MIN_EMBEDDING, MIN_FRAGMENT, MIN_OVERLAP, MUTUAL, NEAR_BEST, STRONG_EMBEDDING, STRONG_OVERLAP
+from driftline.operators import matching
 from driftline.operators.graph import connected
+from driftline.sources.scratch import written
 
 
 def one_sided(changes: DataFrame) -> DataFrame:
@@ -24,19 +26,18 @@ def one_sided(changes: DataFrame) -> DataFrame:
 def edges(nodes: DataFrame) -> DataFrame:
     """Credible pairs of a removed and an added node of a section: ``(block, a, b, token_overlap, embedding_score, score)``.
 
-    Without embeddings pairs meet on a shared word; a pair without one has no overlap. Sections bound what meets.
+    The pairs are found tile by tile in each section, by the overlap of words and by embeddings where there are some.
     """
     key, words = compact_key(F.col("text")), meaningful_tokens(F.col("text"))
     vector = F.col("embedding") if "embedding" in nodes.columns else F.lit(None).cast("array<double>")
-    rows = nodes.select(F.col("section").alias("block"), "node", "side", key.alias("key"), words.alias("words"), vector.alias("v"))
-    side = lambda s, n: rows.where(F.col("side") == s).select("block", F.col("node").alias(n), F.col("key").alias(f"{n}k"), F.col("words").alias(f"{n}w"), F.col("v").alias(f"{n}v"))
-    a, b = side("t1", "a"), side("t2", "b")
+    side = F.when(F.col("side") == "t1", "previous").otherwise("current")
+    rows = nodes.select(F.col("section").alias("block"), F.col("node").alias("chunk"), side.alias("side"), key.alias("key"), words.alias("named"), vector.alias("vector"))
+    rows = written(rows, "nodes")
+    pairs = matching.overlap_pairs(rows.select("block", "side", "chunk", F.transform("named", lambda w: F.xxhash64(w)).alias("words")), MIN_OVERLAP)
     if "embedding" in nodes.columns:
-        met = a.join(b, "block")
-    else:
-        each = lambda df, n: df.select("block", n, F.explode(f"{n}w").alias("word"))
-        pairs = each(a, "a").join(each(b, "b"), ["block", "word"]).select("block", "a", "b").distinct()
-        met = pairs.join(a, ["block", "a"]).join(b, ["block", "b"])
+        pairs = pairs.unionByName(matching.vector_pairs(rows.select("block", "side", "chunk", "vector"), MIN_EMBEDDING))
+    of = lambda s, n: rows.where(F.col("side") == s).select("block", F.col("chunk").alias(n), F.col("key").alias(f"{n}k"), F.col("named").alias(f"{n}w"), F.col("vector").alias(f"{n}v"))
+    met = pairs.select("block", F.col("left").alias("a"), F.col("right").alias("b")).distinct().join(of("previous", "a"), ["block", "a"]).join(of("current", "b"), ["block", "b"])
     overlap = F.round(candidate_score(F.col("ak"), F.col("bk"), F.col("aw"), F.col("bw")), 4)
     near = F.round(F.coalesce(cosine(F.col("av"), F.col("bv"), 0.0, 1.0), F.lit(0.0)), 4)
     out = met.select("block", "a", "b", overlap.alias("token_overlap"), near.alias("embedding_score"))
