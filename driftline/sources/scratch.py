@@ -23,11 +23,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/driftline/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a Parquet table to the shared folder and read it again."""
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Cut the lineage: write a Parquet table to the shared folder and read it again.
+
+    The default codec works on the heap; the usual one keeps buffers outside it, which add up where tables are many.
+    Tables of hashes, which do not compress, may be written ``uncompressed``.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._driftline_path = path
     return back
