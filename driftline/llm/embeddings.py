@@ -177,3 +177,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     out = rows.select("key", "gid").join(facts, "gid", "left")
     component = F.coalesce("component", "key")
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+
+
+def sql(table: str = "embeddings", threshold: float = 0.93) -> str:
+    """The same result in DuckDB's SQL by comparing all pairs, for tables of moderate size with one row a key."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM {table} WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {threshold}),
+    c AS (SELECT vec_id AS node, vec_id AS root FROM {table} UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.node),
+    r AS (SELECT node, min(root) AS root FROM c GROUP BY 1), n AS (SELECT a, count(*) AS n FROM p GROUP BY 1)
+    SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, r.root AS component_id, vec_id = r.root AS kept FROM {table} JOIN r ON node = vec_id LEFT JOIN n ON a = vec_id"""

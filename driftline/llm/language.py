@@ -15,9 +15,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import runs_of_rows
+
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-_ROWS = 256  # documents worked on at once in a task; bounds memory, changes no result
+_CHARS = 1 << 20  # characters worked on at once in a task; bounds memory, changes no result
 
 
 def _grams(word: str) -> list[str]:
@@ -142,13 +144,14 @@ def _infer(words: list[list[str]], memory: _Words, rounds: int, penalty: float)
     return best, number
 
 
-def predicted(docs: DataFrame, model: Model, text: str = "text", rounds: int = 8, penalty: float = 4.0) -> DataFrame:
+def predicted(docs: DataFrame, model: Model, text: str = "text", rounds: int = 8, penalty: float = 4.0, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (the share of its words in that language) and ``n_langs``.
 
     A text that is null or has no letter gets ``und`` and 0, and so does every text if no language was learnt.
-    Equal shares are settled by the language's name. Columns of those names are replaced; the others stay.
+    Equal shares are settled by the language's name. Columns of those names are replaced; the others stay, but for the
+    text without ``keep_text``. Rows may repeat, keys may be null, and texts of any length are read whole.
     """
-    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "n_langs")]
+    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "n_langs") and (keep_text or f.name != text)]
     names = [f.name for f in own]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size, see train()
 
@@ -156,8 +159,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", rounds: int = 8
         model = shared.value
         memory = _Words(model)
         for whole in batches:
-            for at in range(0, len(whole), _ROWS):
-                pdf = whole.iloc[at : at + _ROWS]
+            for pdf in runs_of_rows(whole, text, _CHARS):
                 texts = pdf[text].tolist()
                 fit = [i for i, t in enumerate(texts) if t and model.langs and _LETTER.search(t)]
                 lang, score, n = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int32)

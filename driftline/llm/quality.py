@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import slices
+
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_shouts long, n_upper long, n_letters long"
 
 _WINDOW = 5
-_ROWS = 512  # documents worked on at once in a task; bounds memory, changes no result
 _SYMBOLS = b"#*$%&|<>"
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, _WINDOW + 1, dtype=np.uint64) * 2 + 1
 
@@ -60,16 +61,17 @@ def _measure(texts: list[str | None]) -> dict[str, list]:
     return out | {"n_repeat_words": _repeated(words), "n_lines": lines, "n_shouts": counts[:, 33], "n_upper": upper, "n_letters": letters}
 
 
-def measured(df: DataFrame, text: str = "text") -> DataFrame:
+def measured(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with the measurements beside its columns; a measurement's name replaces a column of the same name.
 
-    The text is read once, in Arrow batches; nothing is shuffled. Null and empty texts measure zero everywhere.
+    The text is read once, in Arrow batches of bounded bytes, and does not come back without ``keep_text``; nothing is
+    shuffled. Null and empty texts measure zero everywhere; rows may repeat and keys may be null.
     """
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    kept = [c for c in df.columns if c not in names]
+    kept = [c for c in df.columns if c not in names and (keep_text or c != text)]
 
     def run(batches):
-        for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
+        for batch in (part for whole in batches for part in slices(whole, text)):
             table = batch.select(kept)
             got = _measure(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*table.columns, *(pa.array(np.asarray(got[n], np.int64)) for n in names)], [*kept, *names])
@@ -102,13 +104,13 @@ def mask(policy: str) -> int:
     return sum(map(bit, POLICIES[policy]))
 
 
-def ledger(df: DataFrame, text: str = "text") -> DataFrame:
+def ledger(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """The measurements and ``failed_bits``: each rule evaluated once, over stored measurements, JVM-side."""
     bits = None
     for rule, condition in RULES.items():
         one = F.when(F.expr(condition), F.lit(bit(rule)).cast("long")).otherwise(F.lit(0).cast("long"))
         bits = one if bits is None else bits.bitwiseOR(one)
-    return measured(df, text).withColumn("failed_bits", bits)
+    return measured(df, text, keep_text).withColumn("failed_bits", bits)
 
 
 def verdict(policy: str) -> Column:
@@ -129,15 +131,34 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     only = F.col("bits") == F.col("bit")
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias
     joined = rules.join(counts, hit, "left")
-    return joined.groupBy("policy", "rule", "bit").agg(total(hit)("n_failed"), total(only)("n_failed_alone"))
+    fails = F.col("bits") != 0
+    without = F.col("bits").bitwiseAND(F.bitwise_not(F.col("bit"))) == 0
+    return joined.groupBy("policy", "rule", "bit").agg(total(hit & fails)("n_failed"), total(only)("n_failed_alone"), total(fails & without)("n_passed_without"))
 
 
 def df_rules(rows: DataFrame, policy: str) -> DataFrame:
     return rows.sparkSession.createDataFrame([(policy, r, bit(r)) for r in POLICIES[policy]], "policy string, rule string, bit long")
 
 
-def quality(df: DataFrame, policy: str = "v2") -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept`` under ``policy`` (which must hold the base rules)."""
-    rows = ledger(df)
+def quality(df: DataFrame, policy: str = "v2", text: str = "text", keep_text: bool = True) -> DataFrame:
+    """The ledger with ``policy``, ``base_failed`` and ``kept`` under that policy (which must hold the base rules)."""
+    rows = ledger(df, text, keep_text)
     failed = F.col("failed_bits").bitwiseAND(F.lit(mask("base"))) != 0
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & verdict(policy)})
+    return rows.withColumns({"policy": F.lit(policy), "base_failed": failed, "kept": ~failed & verdict(policy)})
+
+
+_SPACE = r"\x20\x09-\x0D"
+
+
+def sql(docs: str = "documents", policy: str = "v2") -> str:
+    """The same result in DuckDB's SQL, for tables of moderate size: every five-word window becomes a row."""
+    bits = " + ".join(f"CASE WHEN {c} THEN {bit(r)} ELSE 0 END" for r, c in RULES.items())
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w FROM {docs}),
+    o AS (SELECT row_number() OVER () AS r, * FROM d),
+    x AS (SELECT r, unnest(generate_series(1, len(w) - 4)) AS i, w FROM o WHERE len(w) >= 5), y AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 4], ' ')) AS n FROM x),
+    z AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS p FROM y WHERE n > 1) GROUP BY 1),
+    l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS lines FROM o),
+    m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(z.n, 0) AS n_repeat_words,
+      len(lines) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_shouts, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters FROM l LEFT JOIN z USING (r)),
+    b AS (SELECT *, ({bits})::BIGINT AS failed_bits FROM m)
+    SELECT *, '{policy}' AS policy, failed_bits & {mask('base')} <> 0 AS base_failed, failed_bits & {mask(policy) | mask('base')} = 0 AS kept FROM b"""

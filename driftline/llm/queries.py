@@ -28,8 +28,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.drop("text")
+    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does, by bit arithmetic over the counted ledger."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False), "v2")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"))
     model = language.train(docs.where("not held_out"))
-    return language.predicted(docs.select("doc_id", "held_out", "text"), model).drop("text")
+    return language.predicted(docs.select("doc_id", "held_out", "text"), model, keep_text=False)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +74,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row", "class")
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_line_dedup": op2_line_dedup, "op6_pii": op6_pii, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_mixing": op5_mixing, "op10_language": op10_language, "op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_line_dedup": op2_line_dedup, "op6_pii": op6_pii, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_mixing": op5_mixing, "op10_language": op10_language, "op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules, "quality_ablations": quality_ablations}
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 _URLS = f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urls._UPPER}', '{urls._LOWER}') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), r(verdict, h, p) AS (VALUES {_RULES}),
   m AS (SELECT u.page_id, max_by({{'rule': h || p, 'verdict': r.verdict}}, length(h || p) * 1000 + length(h)) AS best FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)"""
-SQL: dict[str, str] = {"op3_url_filters": _URLS, "op5_mixing": mixing.sql()}
+SQL: dict[str, str] = {"op3_url_filters": _URLS, "op5_mixing": mixing.sql(), "op7_quality_rules": quality.sql(), "op4_embedding_near_dedup": embeddings.sql()}

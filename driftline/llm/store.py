@@ -7,7 +7,7 @@ A store is a folder of
   keys) and, in the order it gives, a stored fingerprint and the place: shard, offset, length, start.
 
 A key is looked up by hashing it to a bucket, hashing it to a group, and hashing it with the group's seed to its
-slot: three steps whatever the number of documents. The fingerprint rejects keys that were never stored.
+slot: three steps and four small reads whatever the number of documents. The fingerprint rejects keys that were never stored.
 
 Shards and index files are written by the tasks under an attempt's own name and then renamed, and what was
 written is known from the table the tasks return, so a lost executor only repeats its own files.
@@ -21,13 +21,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import bpe
-from driftline.llm.common import new_path, partitions, written
+from driftline.llm.common import new_path, partitions, runs_of_rows, written
 
 MAGIC, VERSION = b"DLID", 1
 HEADER, INDEX_HEADER = "<4sHHQ", "<4sHHQQ"
@@ -35,13 +36,24 @@ HEADER_BYTES, INDEX_HEADER_BYTES = struct.calcsize(HEADER), struct.calcsize(INDE
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("n_tokens", "<u8"), ("offset", "<u8"), ("start", "<u8")])
 MAX_BUCKETS = 65_536  # bounds the number of index files
 GROUP_KEYS = 4
-_ROWS = 512  # documents encoded at once in a task; bounds memory, changes no result
+_SPAN = 8 << 20  # bytes of neighbouring payloads read at once
 
 
 def _open(uri: str):
     return arrow_fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
+def _put(files, own: str, path: str) -> None:
+    """Rename; where a file system does not rename onto a file that a lost attempt left, that file goes first."""
+    try:
+        files.move(own, path)
+    except OSError:
+        if files.get_file_info(path).type == arrow_fs.FileType.NotFound:
+            raise
+        files.delete_file(path)
+        files.move(own, path)
+
+
 def _write_whole(uri: str, data_parts) -> None:
     """Write under a name of this attempt's own, then rename: a repeated task replaces whole files only."""
     files, path = _open(uri)
@@ -51,7 +63,7 @@ def _write_whole(uri: str, data_parts) -> None:
     with files.open_output_stream(own) as out:
         for part in data_parts:
             out.write(part)
-    files.move(own, path)
+    _put(files, own, path)
 
 
 def _mix(x: np.ndarray, seed) -> np.ndarray:
@@ -165,7 +177,7 @@ def _encode_shards(folder: str, vocabulary, end_id: int, width: int):
         files.create_dir(path.rsplit("/", 1)[0], recursive=True)
         own, offset, out = f"{path}.{TaskContext.get().taskAttemptId()}.tmp", HEADER_BYTES, None
         last, seen = None, 0
-        for pdf in (whole.iloc[k : k + _ROWS] for whole in batches for k in range(0, len(whole), _ROWS)):
+        for pdf in (part for whole in batches for part in runs_of_rows(whole, "text")):
             if out is None:
                 out = files.open_output_stream(own)
                 out.write(struct.pack(HEADER, MAGIC, VERSION, width, shard))
@@ -182,7 +194,7 @@ def _encode_shards(folder: str, vocabulary, end_id: int, width: int):
             offset = int(ends[-1])
         if out is not None:
             out.close()
-            files.move(own, path)
+            _put(files, own, path)
 
     return run
 
@@ -283,22 +295,38 @@ def _memo(vocabulary: str, kind, width: int) -> _Pieces:
     return _memos[key]
 
 
+def _spans(pdf: pd.DataFrame, width: int):
+    """Runs of rows whose payloads lie one behind the other in a shard, of about ``_SPAN`` bytes."""
+    shard, offset, size = (pdf[c].to_numpy(np.int64) for c in ("shard", "offset", "n_tokens"))
+    start, at = 0, 0
+    for k in range(1, len(pdf) + 1):
+        at += int(size[k - 1]) * width
+        if k == len(pdf) or at >= _SPAN or shard[k] != shard[start] or offset[k] != offset[k - 1] + size[k - 1] * width:
+            yield start, k, at
+            start, at = k, 0
+
+
 def _read_payloads(folder: str, width: int):
-    """Rows sorted by shard and offset: read each payload back and return its CRC-32 over 32-bit ids."""
+    """Rows sorted by shard and offset: read the payloads back, neighbours at once, and return the CRC-32 of each over
+    32-bit ids."""
 
     def run(batches):
         held, source = None, None
         for pdf in batches:
-            sums = []
-            for shard, offset, n in zip(pdf["shard"], pdf["offset"], pdf["n_tokens"], strict=True):
+            sums = np.zeros(len(pdf), np.int64)
+            sizes = pdf["n_tokens"].to_numpy(np.int64) * width
+            for first, last, n in _spans(pdf, width):
+                shard = int(pdf["shard"].iloc[first])
                 if shard != held:
                     if source is not None:
                         source.close()
-                    files, path = _open(_shard_file(folder, int(shard)))
+                    files, path = _open(_shard_file(folder, shard))
                     source, held = files.open_input_file(path), shard
-                data = source.read_at(int(n) * width, int(offset))
-                sums.append(zlib.crc32(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()))
-            yield pdf.assign(ids_crc32=np.array(sums, np.int64))
+                data, at = source.read_at(n, int(pdf["offset"].iloc[first])), 0
+                for k in range(first, last):
+                    sums[k] = zlib.crc32(np.frombuffer(data, f"<u{width}", int(sizes[k]) // width, at).astype("<u4").tobytes())
+                    at += int(sizes[k])
+            yield pdf.assign(ids_crc32=sums)
         if source is not None:
             source.close()
 
@@ -325,16 +353,30 @@ class TokenStore:
         dealt = found.repartitionByRange(partitions(self.spark), "shard", "offset").sortWithinPartitions("shard", "offset")
         return dealt.mapInPandas(_read_payloads(self.folder, self.width), "key long, nth long, shard long, n_tokens long, offset long, start long, ids_crc32 long")
 
+    def bucket_of(self, key: int, nth: int = 0) -> int:
+        """The same as ``bucket()``, without Spark."""
+        h = 42
+        for part in (struct.pack("<q", key), struct.pack("<q", nth), struct.pack("<i", 7)):
+            h = xxhash.xxh64_intdigest(part, seed=h)
+        return (h - (1 << 64) if h >> 63 else h) % self.n_buckets
+
     def get(self, key: int, nth: int = 0) -> np.ndarray | None:
-        """The ids of one document, by three hashes and two reads."""
-        row = self.spark.createDataFrame([(int(key), nth)], "key long, nth long").select("key", "nth", self.bucket().alias("bucket")).first()
-        found = _look_up(self.folder)(pd.DataFrame({"key": [row.key], "nth": [row.nth], "bucket": [row.bucket]}))
-        if not len(found):
+        """The ids of one document, null if its key is not stored: three hashes and four small reads, no Spark job."""
+        code = _codes(pd.DataFrame({"key": [int(key)], "nth": [nth]}))
+        files, path = _open(_index_file(self.folder, self.bucket_of(int(key), nth)))
+        if files.get_file_info(path).type == arrow_fs.FileType.NotFound:
+            return None
+        with files.open_input_file(path) as index:
+            _, _, _, n, n_seeds = struct.unpack(INDEX_HEADER, index.read_at(INDEX_HEADER_BYTES, 0))
+            group = int(_mix(code, 0)[0] % np.uint64(n_seeds))
+            seed = np.frombuffer(index.read_at(4, INDEX_HEADER_BYTES + 4 * group), "<u4")
+            slot = int(_mix(code, seed.astype(np.uint64))[0] % np.uint64(n))
+            place = np.frombuffer(index.read_at(SLOT.itemsize, INDEX_HEADER_BYTES + 4 * n_seeds + SLOT.itemsize * slot), SLOT)[0]
+        if place["fingerprint"] != _fingerprint(code)[0]:
             return None
-        place = found.iloc[0]
-        files, path = _open(_shard_file(self.folder, int(place.shard)))
+        files, path = _open(_shard_file(self.folder, int(place["shard"])))
         with files.open_input_file(path) as source:
-            return np.frombuffer(source.read_at(int(place.n_tokens) * self.width, int(place.offset)), f"<u{self.width}")
+            return np.frombuffer(source.read_at(int(place["n_tokens"]) * self.width, int(place["offset"])), f"<u{self.width}")
 
 
 def write_store(docs: DataFrame, vocabulary: str, end_id: int = 0, key: str = "doc_id", text: str = "text", bucket_keys: int = 256, folder: str | None = None) -> tuple[TokenStore, DataFrame]:

@@ -157,3 +157,78 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, sf_dir):
     found = corpus_pipeline.dedup_documents(spark, docs, sf_dir)
     assert found.columns == corpus_pipeline.COLUMNS
     assert sorted(r["doc_id"] for r in found.collect()) == [1, 2, 2, 3]
+
+
+CASES = [
+    "Ruf +49 30 123456 oder +4930123456 an",
+    "Tel +33 6 12 34 56 78 ou 06 12 34 56 78",
+    "Frau Anna Schmidt kam. Anna Schmidt left, and Schmidt too; Schmidts stay.",
+    "Mrs Ελένη Παππά wrote",
+    "IBAN DE89 3704 0044 0532 0130 00 and DE89370400440532013000",
+    "at abcd:abef:abcd:abef:abcd:abef:abcd:abef: no, abcd:abef:abcd:abef:abcd:abef:abcd:abef",
+    "Herr. Schmidt kam",
+    "Rate 0123 of 45, 12:30, 1.2.3 and 2024-01-02 stay",
+]
+
+
+def test_surrogates_of_known_hard_cases(spark):
+    df = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymised(df, "k").collect()}
+    text = [got[i]["text"] for i in range(len(CASES))]
+    bare = lambda x: re.sub(r"\D", "", x)
+    a, b = re.fullmatch(r"Ruf (\+49 \d\d \d{6}) oder (\+49\d{8}) an", text[0]).groups()
+    assert bare(a) == bare(b) != "4930123456"
+    a, b = re.fullmatch(r"Tel (\+33 \d \d\d \d\d \d\d \d\d) ou (0\d \d\d \d\d \d\d \d\d)", text[1]).groups()
+    assert bare(a)[2:] == bare(b)[1:] != "612345678"
+    first, last = re.match(r"Frau (\w+) (\w+) kam", text[2]).groups()
+    assert text[2] == f"Frau {first} {last} kam. {first} {last} left, and {last} too; Schmidts stay." and last != "Schmidt"
+    assert re.fullmatch(r"Mrs [Α-Ωα-ωΆ-ώ]+ [Α-Ωα-ωΆ-ώ]+ wrote", text[3]) and "Παππά" not in text[3]
+    a, b = re.fullmatch(r"IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) and (DE\d{20})", text[4]).groups()
+    assert a.replace(" ", "") == b != "DE89370400440532013000"
+    assert int("".join(str(int(c, 36)) for c in b[4:] + b[:4])) % 97 == 1
+    assert "abcd:abef" not in text[5].split("no, ")[1] and "Schmidt" not in text[6] and text[7] == CASES[7]
+
+
+def test_surrogates_where_a_format_is_full(spark):
+    """Of 10,000 addresses of one-digit octets most are taken: each still gets one of its own, and no true one."""
+    values = [f"{i // 1000 % 10}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(0, 10_000, 2)] + [f"{i % 10}.{i // 10 % 10}.9.9" for i in range(0, 100, 3)]
+    df = spark.createDataFrame([(i, " ".join(values[i : i + 500])) for i in range(0, len(values), 500)], "doc_id long, text string")
+    got = " ".join(r["text"] for r in pii.pseudonymised(df, "k").orderBy("doc_id").collect()).split()
+    by_value = dict(zip(values, got, strict=True))
+    assert len(set(by_value.values())) == len(set(values)) and not set(by_value.values()) & set(values)
+    assert all(by_value[v] == g for v, g in zip(values, got, strict=True))
+
+
+def test_sample_meets_every_margin(spark):
+    """Tokens of the sample, copies counted, by source, language and topic, against the raked targets."""
+    rows = [(i, "one two three four" if i % 3 else "1 2 3 4", ("en", "de", "fr")[min(i % 7, 2)], f"s{min(i % 9, 3)}") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = mixing.mixed(docs).toPandas()
+    whole = (found["mix_tokens"] * found["mix_copies"]).sum()
+    powers = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+    for m, power in powers.items():
+        had = found.groupby(f"mix_{m}")["mix_tokens"].sum() ** power
+        got = (found["mix_tokens"] * found["mix_copies"]).groupby(found[f"mix_{m}"]).sum() / whole
+        assert (got - had / had.sum()).abs().max() < 0.01
+
+
+def test_pipeline_stages_against_brute_force(spark, sf_dir):
+    """Each stage on a small table: what it keeps, worked out here in plain Python."""
+    words = [f"word{i}" for i in range(40)]
+    base = " ".join(words)
+    texts = {1: base, 2: base, 3: " ".join([*words[:20], "x", *words[21:]]), 4: "another text\nshared line of six words here", 5: "shared LINE of six words here\nown line", 6: None, 7: "", 8: "12 34"}
+    docs = spark.createDataFrame([(k, t, "en", f"s{k % 2}", len(t or "")) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, sf_dir).collect()}
+    assert kept == {k: "en" for k in (1, 2, 3, 4, 5)}
+    lines = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs, sf_dir).collect()}
+    assert lines == {1: (base, len(base)), 4: (texts[4], len(texts[4])), 5: ("own line", 8), 6: (None, None), 7: ("", 0), 8: ("12 34", 5)}
+    near = sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, sf_dir).collect())
+    sets = {k: {tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for k, t in texts.items()}
+    gone = {b for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near == [k for k in texts if k not in gone]
+    coded = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, docs, sf_dir).collect()}
+    assert len(coded) == 8 and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in coded.values()) and coded[6]["n_tokens"] == 0
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    assert mixed.columns == corpus_pipeline.COLUMNS and not {6, 7} & {r["doc_id"] for r in mixed.collect()}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0

@@ -1,6 +1,7 @@
 """Quality, language, BPE, token files: brute force, the tokenizers library, held-out accuracy, odd rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -180,3 +181,47 @@ def test_minimal_hash():
     for n in (1, 2, 7, 2000):
         seeds = store.minimal_hash(keys[:n])
         assert sorted(store._slot(keys[:n], seeds, n)) == list(range(n))
+
+
+def test_store_get(spark, sf_dir, library):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(40)
+    made, keys = store.write_store(docs, vocabulary())
+    buckets = {r["key"]: r["b"] for r in keys.select("key", made.bucket().alias("b")).collect()}
+    for r in docs.collect():
+        assert made.bucket_of(r["doc_id"]) == buckets[r["doc_id"]]
+        assert made.get(r["doc_id"]).tolist() == [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+    assert made.get(10**12) is None
+
+
+def test_mixture_equals_brute_force(spark):
+    """Proportions by a plain EM over the words of a text, from the model's own trigram likelihoods."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr")] * 4)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    given = ["the dog and der hund und die katze", "le chat", "12 34", None, "the cat " * 3000, "le chat"]
+    got = {r["doc_id"]: r for r in language.predicted(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), model).collect()}
+    for k in (0, 1, 4):
+        words = [w for w in given[k].split()]
+        like = []
+        for w in words:
+            logs = sum(model.logs[model.grams.get(g, len(model.grams))] for g in language._grams(w))
+            like.append([math.exp(x - max(logs)) for x in logs])
+        share = [1 / len(model.langs)] * len(model.langs)
+        for _ in range(8):
+            new = [0.0] * len(share)
+            for row in like:
+                total = sum(p * s for p, s in zip(row, share))
+                for j, p in enumerate(row):
+                    new[j] += p * share[j] / total
+            share = [x / len(words) for x in new]
+        assert got[k]["lang_pred"] == model.langs[max(range(len(share)), key=lambda j: share[j])]
+    assert got[1]["lang_pred"] == got[5]["lang_pred"] and got[1]["score"] == got[5]["score"]
+    assert got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and got[2]["score"] == 0
+
+
+def test_ablations_sum_up(spark, sf_dir):
+    rows = quality.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep_text=False)
+    bits = [r["failed_bits"] for r in rows.collect()]
+    mask = quality.mask("v2")
+    for r in quality.ablations(rows, "v2").collect():
+        assert r["n_failed"] == sum(bool(b & r["bit"]) for b in bits)
+        assert r["n_failed_alone"] == r["n_passed_without"] == sum(b & mask == r["bit"] for b in bits)
