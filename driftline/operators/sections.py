@@ -53,7 +53,7 @@ def toc_entries(line: Column, max_pages: int = 200) -> Column:
 def toc_page_score(page: Column, text: Column, names: list[str] | None = None) -> Column:
     """How much a page looks like a table of contents: markers, place, lines that start or end in a number, names."""
     t = _key(text)
-    lines = F.filter(F.transform(F.split(blank(text), "\n"), F.trim), lambda x: (F.length(x) >= 5) & (F.length(x) <= 160) & x.rlike(r"\d{1,3}\s*$|^\d{1,3}\s+"))
+    lines = F.filter(F.transform(F.split(blank(text), "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 5) & (F.length(x) <= 160) & x.rlike(r"\d{1,3}\s*$|^\d{1,3}\s+"))
     points = lambda rule, n: F.when(rule, float(n)).otherwise(0.0)
     score = points(t.rlike(STRONG_MARKERS), 50) + points(t.rlike(SOFT_MARKERS), 20) + points(page.between(10, 25), 10) + points(page.between(15, 20), 20) + F.least(F.size(lines), F.lit(12)) * 3.0
     for name in names or ():
@@ -63,7 +63,7 @@ def toc_page_score(page: Column, text: Column, names: list[str] | None = None) -
 
 def decoy_page(text: Column) -> Column:
     """A page of numbered recommendations that only looks like a table of contents."""
-    lines = F.filter(F.transform(F.split(blank(text), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(blank(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     numbers = F.transform(lines, lambda x: F.regexp_extract(x, r"^(\d{1,3})\b", 1).try_cast("int"))
     found = F.filter(numbers, lambda n: n.isNotNull())
     runs = F.aggregate(found, F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")), lambda a, n: _longer(a, n))["best"]
