@@ -48,3 +48,31 @@ def normalized(box: Column, width: Column, height: Column) -> Column:
     """Absolute coordinates as shares of the page, clamped to [0, 1]."""
     unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     return F.array(unit(box[0] / width), unit(box[1] / height), unit(box[2] / width), unit(box[3] / height))
+
+
+def profile(box: Column) -> Column:
+    """Width, height, area, sides ratio, and whether a box is nearly the whole page; zeros for one that is none."""
+    good = lambda c: F.round(F.when(valid(box), c).otherwise(0.0), 6)
+    w, h = _side(box, 0), _side(box, 1)
+    full = valid(box) & ((area(box) >= 0.9) | ((w >= 0.95) & (h >= 0.95)))
+    return F.struct(good(w).alias("width"), good(h).alias("height"), good(area(box)).alias("area"), F.when(valid(box), F.round(w / h, 4)).otherwise(0.0).alias("aspect_ratio"), full.alias("is_near_full_page"))
+
+
+def sane(box: Column, min_width: float = 0.02, min_height: float = 0.02, min_area: float = 0.0005, max_area: float = 0.95, near_full: float = 0.9) -> Column:
+    """Whether a box can be a table's: valid, neither too small nor nearly the whole page; with the reason if not."""
+    p = profile(box)
+    reason = (
+        F.when(~valid(box), "invalid_bbox")
+        .when(p["width"] < min_width, "bbox_too_narrow")
+        .when(p["height"] < min_height, "bbox_too_short")
+        .when(p["area"] < min_area, "bbox_area_too_small")
+        .when(p["area"] > max_area, "bbox_area_too_large")
+        .when((p["area"] >= near_full) | ((p["width"] >= near_full) & (p["height"] >= near_full)), "bbox_near_full_page")
+    )
+    return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def proof_box(box: Column) -> Column:
+    """A box as four numbers if it is valid, else null."""
+    numbers = F.transform(box, lambda x: x.cast("double"))
+    return F.when(valid(numbers), numbers)

@@ -159,10 +159,10 @@ def _tile_pairs(matrix, minimum: float, best: int = 3):
     return run
 
 
-def _pairs_of(rows: DataFrame, matrix, minimum: float, tile: int) -> DataFrame:
+def _pairs_of(rows: DataFrame, matrix, minimum: float, tile: int, best: int = 3) -> DataFrame:
     kind = lambda c: rows.schema[c].dataType.simpleString()
     schema = f"block {kind('block')}, left {kind('chunk')}, right {kind('chunk')}, score double"
-    return _tiles(rows, tile).groupBy("block", "_i", "_j").applyInPandas(_tile_pairs(matrix, minimum), schema)
+    return _tiles(rows, tile).groupBy("block", "_i", "_j").applyInPandas(_tile_pairs(matrix, minimum, best), schema)
 
 
 def _flat(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,6 +206,16 @@ def _dense(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     return np.clip(unit(left) @ unit(right).T, 0.0, 1.0)
 
 
+def _plain(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    stacked = lambda side: np.stack(side["vector"].to_numpy()).astype(np.float64)
+    return stacked(left) @ stacked(right).T
+
+
+def product_pairs(rows: DataFrame, minimum: float, tile: int = 1024, best: int = 3) -> DataFrame:
+    """Products of previous with current vectors as they are: all of at least ``minimum`` and the best few of every row."""
+    return _pairs_of(rows.where("vector is not null"), _plain, minimum, tile, best)
+
+
 def vector_pairs(rows: DataFrame, minimum: float, tile: int = 1024) -> DataFrame:
     """Cosines of previous with current rows ``(block, side, chunk, vector)`` of a block: all of at least ``minimum``, and
     the best three of every row. Rows without a vector are left out."""
