@@ -68,6 +68,7 @@ def sane(box: Column, min_width: float = 0.02, min_height: float = 0.02, min_are
         .when(p["area"] < min_area, "bbox_area_too_small")
         .when(p["area"] > max_area, "bbox_area_too_large")
         .when((p["area"] >= near_full) | ((p["width"] >= near_full) & (p["height"] >= near_full)), "bbox_near_full_page")
+        .when((p["width"] / p["height"] > 20) | (p["height"] / p["width"] > 20), "extreme_aspect_ratio")
     )
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
 
