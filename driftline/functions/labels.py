@@ -121,7 +121,8 @@ def _rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def _any(text: Column, patterns: list[str], flags: str = "(?i)") -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(flags + p) for p in patterns])
+    """Whether one of the patterns is found, by one expression of them all."""
+    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
 def _without(text: Column, *patterns: str) -> Column:

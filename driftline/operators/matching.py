@@ -171,15 +171,32 @@ def _flat(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _products(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    """Products of sparse vectors, by ranges of the words that both sides have."""
-    sides = [(*_flat(left), len(left)), (*_flat(right), len(right))]
-    words = np.intersect1d(sides[0][1], sides[1][1])
-    out = np.zeros((len(left), len(right)))
-    for at in range(0, len(words), 4096):
-        part, dense = words[at : at + 4096], []
-        for r, w, v, n in sides:
-            place = np.minimum(np.searchsorted(part, w), len(part) - 1)
-            hit = part[place] == w
+    """Products of sparse vectors: rare words pair by pair, frequent ones as matrices over ranges of words."""
+    (ra, wa, va), (rb, wb, vb) = _flat(left), _flat(right)
+    words = np.intersect1d(wa, wb)
+    out = np.zeros(len(left) * len(right))
+    if not len(words):
+        return out.reshape(len(left), len(right))
+    sides = []
+    for r, w, v in ((ra, wa, va), (rb, wb, vb)):
+        place = np.minimum(np.searchsorted(words, w), len(words) - 1)
+        hit = np.flatnonzero(words[place] == w)
+        hit = hit[np.argsort(place[hit], kind="stable")]
+        sides.append((r[hit], place[hit], v[hit], np.bincount(place[hit], minlength=len(words))))
+    (ra, pa, va, na), (rb, pb, vb, nb) = sides
+    rare = na * nb <= 1024
+    mine = np.flatnonzero(rare[pa])
+    times, starts = nb[pa[mine]], np.concatenate([[0], np.cumsum(nb)[:-1]])[pa[mine]]
+    i = np.repeat(mine, times)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts, times)
+    out += np.bincount(ra[i] * len(right) + rb[j], va[i] * vb[j], len(out))
+    out = out.reshape(len(left), len(right))
+    often = np.flatnonzero(~rare)
+    for at in range(0, len(often), 4096):
+        part, dense = often[at : at + 4096], []
+        for r, p, v, n in ((ra, pa, va, len(left)), (rb, pb, vb, len(right))):
+            place = np.minimum(np.searchsorted(part, p), len(part) - 1)
+            hit = part[place] == p
             m = np.zeros((n, len(part)))
             m[r[hit], place[hit]] = v[hit]
             dense.append(m)
@@ -192,10 +209,12 @@ def _sparse(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
 
 
 def _overlaps(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    """Jaccard similarity of word sets; 1 where half of the smaller set is shared, as one text may hold the other."""
+    """Jaccard similarity of word sets; 1 where one text may hold the other, its first and last word cut perhaps: where
+    half of the smaller set and all but two of it are shared."""
     size = lambda side: np.array([len(x) for x in side["words"]], np.float64)
     both, a, b = _products(left, right), size(left)[:, None], size(right)[None, :]
-    return np.where(both >= 0.5 * np.minimum(a, b), 1.0, both / np.maximum(a + b - both, 1.0))
+    least = np.minimum(a, b)
+    return np.where(both >= np.maximum(0.5 * least, least - 2), 1.0, both / np.maximum(a + b - both, 1.0))
 
 
 def _dense(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
