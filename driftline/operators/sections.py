@@ -289,7 +289,8 @@ def interpolated_page(events: DataFrame, pairs: DataFrame, by: list[str]) -> Dat
     w = Window.partitionBy(*by).orderBy("page", "_k", "other_page")
     back = Window.partitionBy(*by).orderBy("page", F.desc("_k"), "other_page")
     rows = rows.withColumns({"_before": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first(known, True).over(back.rowsBetween(0, Window.unboundedFollowing))})
-    a, b, p = F.col("_before"), F.col("_after"), F.col("page")
+    as_double = lambda c: F.struct(c["page"].cast("double").alias("page"), c["other_page"].cast("double").alias("other_page"))
+    a, b, p = F.when(F.col("_before").isNotNull(), as_double(F.col("_before"))), F.when(F.col("_after").isNotNull(), as_double(F.col("_after"))), F.col("page").cast("double")
     between = F.when(a["page"] == b["page"], a["other_page"]).otherwise(a["other_page"] + (p - a["page"]) * (b["other_page"] - a["other_page"]) / (b["page"] - a["page"]))
     guess = F.coalesce(between, a["other_page"] + p - a["page"], b["other_page"] + p - b["page"])
     return rows.where("_k = 1").select(*by, "event", "page", F.greatest(F.round(guess), F.lit(1)).cast("int").alias("other_page"))

@@ -366,7 +366,7 @@ def round_robin_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.round_robin(rows, "query", [F.desc("score"), "vec_id"], "vec_id", 160)
 
 
-_TFIDF = rf"""WITH d AS (SELECT coalesce(lang, '') || ':' || coalesce(source, '') AS block, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'previous' ELSE 'current' END AS side,
+_TFIDF = rf"""WITH d AS (SELECT coalesce(lang, '') || ':' || coalesce(source, '') AS block, doc_id, CASE WHEN doc_id // 20 % 2 = 0 THEN 'previous' ELSE 'current' END AS side,
   list_filter(list_transform(regexp_extract_all(translate(lower(text), '{text.ACCENTED}', '{text.FOLDED}'), '[\pL\pN_' || chr(39) || ']+'), lambda x: trim(x, '_' || chr(39))), lambda x: length(x) > 2 AND NOT list_contains({text.STOPWORDS!r}, x) AND NOT regexp_full_match(x, '[0-9]+')) AS toks
   FROM documents WHERE text IS NOT NULL),
 t AS (SELECT block, side, doc_id, token, count(*) AS tf FROM (SELECT block, side, doc_id, unnest(toks) AS token FROM d) GROUP BY ALL),
@@ -378,10 +378,12 @@ x AS (SELECT *, row_number() OVER (PARTITION BY block, l ORDER BY score DESC, r)
 
 
 def _chunk_pairs(spark: SparkSession, sf_dir: str, minimum: float = 0.24) -> DataFrame:
-    """Whole documents as chunks, even ids of one period and odd ids of the other, met by language and source."""
+    """Whole documents as chunks, met by language and source; ids go to the two periods by runs of 20.
+
+    A source holds ids of one parity only, so parity can't be the side."""
     docs = read(spark, sf_dir, "documents").where("text is not null")
     block = F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.coalesce("source", F.lit("")))
-    rows = docs.select(block.alias("block"), "doc_id", F.when(F.col("doc_id") % 2 == 0, "previous").otherwise("current").alias("side"), text.tfidf_tokens(F.col("text")).alias("tokens"))
+    rows = docs.select(block.alias("block"), "doc_id", F.when(F.floor(F.col("doc_id") / 20) % 2 == 0, "previous").otherwise("current").alias("side"), text.tfidf_tokens(F.col("text")).alias("tokens"))
     return matching.tfidf_pairs(rows, "block", "doc_id", "side", "tokens", minimum).withColumn("score", F.round("score", 4))
 
 
