@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, embeddings, jaccard, language, lines, mixing, pii, quality, store, urls
+from driftline.llm import bpe, embeddings, infill, jaccard, knn, language, lines, mixing, pii, quality, retrieval, store, urls
 from driftline.llm.common import table
 
 def vocabulary(path: str | None = None) -> str:
@@ -74,10 +74,24 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row", "class")
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_line_dedup": op2_line_dedup, "op6_pii": op6_pii, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_mixing": op5_mixing, "op10_language": op10_language, "op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules, "quality_ablations": quality_ablations}
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id 50 divides, against all rows."""
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = retrieval.build(table(spark, sf_dir, "documents"))
+    return retrieval.search(index, table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_line_dedup": op2_line_dedup, "op6_pii": op6_pii, "op4_embedding_near_dedup": op4_embedding_near_dedup, "op5_mixing": op5_mixing, "op10_language": op10_language, "op8_token_files": op8_token_files, "op9_bpe": op9_bpe, "op3_url_filters": op3_url_filters, "op7_quality_rules": op7_quality_rules, "quality_ablations": quality_ablations, "op11_exact_top_k": op11_exact_top_k, "op12_fill_in_middle": op12_fill_in_middle, "op13_ranked_search": op13_ranked_search}
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 _URLS = f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urls._UPPER}', '{urls._LOWER}') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), r(verdict, h, p) AS (VALUES {_RULES}),
   m AS (SELECT u.page_id, max_by({{'rule': h || p, 'verdict': r.verdict}}, length(h || p) * 1000 + length(h)) AS best FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)"""
-SQL: dict[str, str] = {"op3_url_filters": _URLS, "op5_mixing": mixing.sql(), "op7_quality_rules": quality.sql(), "op4_embedding_near_dedup": embeddings.sql()}
+SQL: dict[str, str] = {"op3_url_filters": _URLS, "op5_mixing": mixing.sql(), "op7_quality_rules": quality.sql(), "op4_embedding_near_dedup": embeddings.sql(), "op11_exact_top_k": knn.sql(), "op12_fill_in_middle": infill.sql(), "op13_ranked_search": retrieval.sql()}
