@@ -1,10 +1,11 @@
 """Fill-in-middle: a distinct-text index with Elias-Fano lists of line ends, and a seeded cut of every document.
 
 Documents with the same text are one entry of the index. They are told by the SHA-256 digest of the whole text and its
-length, so entries never mix contents, and texts meet by their digests alone: a text is shuffled once for its entry, and
-documents join the entry by key and digest. The ends of an entry's lines are worked out once and kept as an Elias-Fano
+length, so entries never mix contents; copies are put together where they are read, and a text is shuffled to its entry
+once, with the keys of the documents that have it, which are joined back to the entry there. The ends of an entry's lines are worked out once and kept as an Elias-Fano
 list (about two bits a line beyond its low bits) of which any end is read without the others; a document's cut selects
-two of them. A text that a large share of all rows have gets several entries, to which its documents are dealt.
+two of them. A text that a large share of all rows have gets several entries, to which its documents are dealt, so no
+entry has more than its share of keys.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import partitions, written
+from driftline.llm.common import partitions
 
 #: Fixed values of the format: before the prefix, the suffix and the middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -104,17 +105,28 @@ def _key(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit(""))
 
 
-def index(df: DataFrame, text: str, slices: DataFrame, member: Column) -> DataFrame:
-    """One entry ``(digest, size, slice, text, ends, marked)`` for each distinct text, and slice where it has several."""
-    rows = df.select(F.coalesce(text, F.lit("")).alias("text"), member.alias("member"))
-    rows = _sliced(rows.withColumns({"digest": _digest(F.col("text")), "size": F.octet_length("text").cast("long")}), slices)
-    found = rows.groupBy("digest", "size", "slice").agg(F.first("text").alias("text"))
-    return found.withColumn("e", _entries("text")).select("digest", "size", "slice", "text", "e.ends", "e.marked")
+def slices_of(df: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """Texts with more than their share of the rows as ``(digest, slices)``, and how many rows a slice holds.
+
+    The share is a part of the whole by the number of shuffle partitions, so this table has fewer rows than four times
+    that number, whatever the size of ``df``.
+    """
+    share = max(4096, -(-df.count() // (4 * partitions(df.sparkSession))))
+    counted = df.groupBy(_digest(F.coalesce(text, F.lit(""))).alias("digest")).agg(F.count("*").alias("n")).where(F.col("n") > share)
+    return counted.select("digest", F.ceil(F.col("n") / share).cast("int").alias("slices")), share
 
 
-def _sliced(rows: DataFrame, slices: DataFrame) -> DataFrame:
-    dealt = rows.join(F.broadcast(slices), "digest", "left")
-    return dealt.withColumn("slice", F.coalesce(F.pmod(F.xxhash64("member"), F.col("slices")), F.lit(0)).cast("int")).drop("slices", "member")
+def index(df: DataFrame, key: str, text: str, slices: DataFrame) -> DataFrame:
+    """One entry ``(digest, size, slice, text, ends, marked, keys)`` for each distinct text, or slice of its rows.
+
+    ``keys`` are those of the rows that have the text, so that they are joined back without a shuffle of their own; a
+    slice bounds their number. Copies are put together before the shuffle, which thus moves a text once a task at most.
+    """
+    rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    rows = rows.withColumns({"digest": _digest(F.col("text")), "size": F.octet_length("text").cast("long")})
+    dealt = rows.join(F.broadcast(slices), "digest", "left").withColumn("slice", F.coalesce(F.pmod("deal", "slices"), F.lit(0)).cast("int"))
+    found = dealt.groupBy("digest", "size", "slice").agg(F.first("text").alias("text"), F.collect_list(F.struct("key")).alias("keys"))
+    return found.withColumn("e", _entries("text")).select("digest", "size", "slice", "text", "e.ends", "e.marked", "keys")
 
 
 def _cut_rows(seed: int, fim_rate: int, spm_rate: int, digest: bool):
@@ -143,17 +155,8 @@ def _cut_rows(seed: int, fim_rate: int, spm_rate: int, digest: bool):
 
 def _joined(df: DataFrame, key: str, text: str) -> DataFrame:
     """Every document with its entry: ``(key, text, ends, marked)``, one row for each row."""
-    rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    known = rows.select("key", _digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("size"))
-    known = written(known.groupBy("key", "digest", "size").agg(F.count("*").alias("copies")), "known")
-    # A text with more than its share of the rows gets slices; so this table holds fewer texts than ``most`` at any size.
-    most = 4 * partitions(df.sparkSession)
-    share = max(64, -(-known.count() // most))
-    counted = known.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > share)
-    slices = counted.select("digest", F.ceil(F.col("n") / share).cast("int").alias("slices"))
-    docs = _sliced(known.withColumn("member", _key(F.col("key"))), slices)
-    met = docs.join(index(rows, "text", slices, _key(F.col("key"))), ["digest", "size", "slice"])
-    return met.select(F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))), "key", "text", "ends", "marked").drop("col")
+    entries = index(df, key, text, slices_of(df, text)[0])
+    return entries.select(F.explode("keys").alias("k"), "text", "ends", "marked").select("k.key", "text", "ends", "marked")
 
 
 def cut_documents(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 7, fim_rate: int = 100, spm_rate: int = 50) -> DataFrame:

@@ -106,4 +106,7 @@ def test_fill_in_middle(spark):
 def test_index_has_one_entry_a_text(spark):
     frame = spark.createDataFrame([(i, f"t{i % 5}\nz") for i in range(40)], "doc_id long, text string")
     none = spark.createDataFrame([], "digest binary, slices int")
-    assert infill.index(frame, "text", none, F.lit("")).count() == 5
+    entries = infill.index(frame, "doc_id", "text", none).collect()
+    assert len(entries) == 5 and sorted(k["key"] for e in entries for k in e["keys"]) == list(range(40))
+    dealt = frame.select(infill._digest(F.col("text")).alias("digest"), F.lit(3).alias("slices")).distinct()
+    assert {len(e["keys"]) < 8 for e in infill.index(frame, "doc_id", "text", dealt).collect()} == {True}
