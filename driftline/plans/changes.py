@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import labels, rules, text
-from driftline.operators import alignment, chunks, graph, metrics, reconcile, review, sections
+from driftline.operators import alignment, chunks, coverage, graph, metrics, reconcile, review, sections
 from driftline.plans.reporting import query, read
+from driftline.sources.scratch import written
 
 SENTENCES = [
     "Le ratio CET1 et les fonds propres ont augmenté",
@@ -288,6 +289,57 @@ def fragment_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.families(fragment_edges(spark, sf_dir).where("strength <> 'retrieval_only'").withColumn("strong", F.col("strength") == "strong"))
 
 
+_BY_RUNS = "CASE WHEN doc_id // 20 % 2 = 0 THEN 't1' ELSE 't2' END"
+
+
+@query(
+    rf"""WITH d AS (SELECT coalesce(lang, '') || ':' || coalesce(source, '') AS section, doc_id, {_BY_RUNS} AS side, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM documents),
+a AS (SELECT section, doc_id, side, len(w) AS n, w, unnest(range(0, greatest(len(w) - {coverage.ANCHOR}, 0) + 1)) AS i FROM d WHERE len(w) > 0),
+g AS (SELECT section, doc_id, side, n, i, least(n, {coverage.ANCHOR}) || ':' || array_to_string(w[i + 1:i + {coverage.ANCHOR}], ' ') AS run FROM a),
+h AS (SELECT DISTINCT section, side, run FROM g), k AS (SELECT g.doc_id, unnest(range(i, i + least(n, {coverage.ANCHOR}))) AS at FROM g SEMI JOIN h ON g.section = h.section AND g.run = h.run AND g.side <> h.side),
+c AS (SELECT doc_id, count(DISTINCT at) AS covered FROM k GROUP BY 1)
+SELECT section, doc_id, side, len(w)::BIGINT AS n_words, coalesce(covered, 0) AS covered FROM d LEFT JOIN c USING (doc_id) WHERE len(w) > 0"""
+)
+def fragment_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands word for word in documents of the other period in its section."""
+    docs = read(spark, sf_dir, "documents")
+    side = F.when(F.floor(F.col("doc_id") / 20) % 2 == 0, "t1").otherwise("t2")
+    section = F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.coalesce("source", F.lit("")))
+    rows = coverage.covered_words(docs.select(section.alias("component"), F.col("doc_id").alias("node"), side.alias("side"), "text"))
+    return rows.select(F.col("component").alias("section"), F.col("node").alias("doc_id"), "side", "n_words", "covered")
+
+
+def planted_fragments(docs: DataFrame) -> DataFrame:
+    """Changes in which every document went as a whole and came back in two pieces.
+
+    Of every three documents one comes back as it was, one with its last four words replaced, and one with the words of
+    its second half in the other order. ``node`` is four times the id, and one or two more for the pieces.
+    """
+    section = F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.coalesce("source", F.lit("")))
+    rows = docs.select("doc_id", section.alias("section"), coverage.words(F.col("text")).alias("w")).where(F.size("w") >= 20)
+    half = F.floor(F.size("w") / 2).cast("int")
+    second = F.slice("w", half + 1, F.size("w"))
+    new = F.concat(F.slice(second, F.lit(1), F.size(second) - 4), F.array(*map(F.lit, ["durabilité", "et", "prudence", "accrue"])))
+    second = F.when(F.col("doc_id") % 3 == 1, new).when(F.col("doc_id") % 3 == 2, F.reverse(second)).otherwise(second)
+    joined = lambda w: F.array_join(w, " ")
+    parts = F.array(F.struct(F.lit(0).alias("p"), joined("w").alias("t")), F.struct(F.lit(1).alias("p"), joined(F.slice("w", F.lit(1), half)).alias("t")), F.struct(F.lit(2).alias("p"), joined(second).alias("t")))
+    rows = rows.select("section", "doc_id", F.explode(parts).alias("x"))
+    old = F.col("x.p") == 0
+    return rows.select("section", (F.col("doc_id") * 4 + F.col("x.p")).alias("node"), F.when(old, "removed").otherwise("added").alias("diff_type"), F.when(old, F.col("x.t")).alias("source_text_t1"), F.when(~old, F.col("x.t")).alias("source_text_t2"))
+
+
+@query()
+def reconciled_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted moves and cuts: found by families, judged by coverage, and what is left of the changes."""
+    changes = written(planted_fragments(read(spark, sf_dir, "documents")), "changes")
+    nodes = reconcile.one_sided(changes)
+    edges = reconcile.marked(reconcile.edges(nodes)).where("strength <> 'retrieval_only'")
+    found = coverage.components(nodes, graph.families(edges))
+    covered = written(coverage.coverage(found), "covered")
+    rows = coverage.reconciled(changes, covered, coverage.verdicts(covered))
+    return rows.select("section", "node", "diff_type", "alignment_type", "alignment_decision", "alignment_id", F.length("source_text_t1").alias("n_chars_t1"), F.length("source_text_t2").alias("n_chars_t2"))
+
+
 @query(
     """WITH u AS (SELECT l_orderkey, l_returnflag AS model, (l_quantity * 100)::BIGINT AS p, (l_extendedprice)::BIGINT AS c FROM lineitem)
 SELECT l_orderkey, sum(p)::BIGINT AS prompt_tokens_total, sum(c)::BIGINT AS completion_tokens_total, count(*) AS comparison_calls_total, sum(p + c)::BIGINT AS total_tokens_total, round(sum(round((p * CASE model WHEN 'A' THEN 2.5 ELSE 0 END + c * CASE model WHEN 'A' THEN 10.0 ELSE 0 END) / 1e6, 6)), 6) AS cost_usd FROM u GROUP BY 1"""

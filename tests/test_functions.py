@@ -124,3 +124,29 @@ def test_vote_needs_a_clear_winner(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 2)], "g string, v int")
     got = {r["g"]: (r["winner"], r["accepted"]) for r in metrics.vote(df, ["g"], "v", 0.5, 2).collect()}
     assert got == {"a": (1, True), "b": (1, False)}
+
+
+def test_matching_blocks_equal_the_library(monkeypatch):
+    import difflib
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "SMALL", 30)  # so that short lists take the way of long ones
+    r = random.Random(1)
+    for _ in range(400):
+        k = r.choice([1, 2, 3, 8])
+        a, b = ([r.randrange(k) for _ in range(r.randrange(60))] for _ in range(2))
+        b = a[:30] + b + a[20:] if r.random() < 0.3 else b
+        whole = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert similarity.matching_blocks(np.array(a, np.uint32), np.array(b, np.uint32)) == [tuple(m) for m in whole.get_matching_blocks() if m[2]]
+        named = {"insert": "added", "delete": "removed", "replace": "modified"}
+        assert list(similarity.changes_between(a, b)) == [(named[o[0]], *o[1:]) for o in whole.get_opcodes() if o[0] != "equal"]
+
+
+def test_long_texts_are_compared(spark):
+    """Two texts of 100,000 letters: minutes by pairs of equal letters, seconds by hashes of runs."""
+    a, b = " ".join(f"mot{i * 7919 % 3001}" for i in range(14000)), " ".join(f"mot{i * 104729 % 2999}" for i in range(14000))
+    rows = spark.createDataFrame([(a, a[:60000] + b[:30000])], "a string, b string")
+    got = rows.select(similarity.sequence_ratio("a", "b").alias("r"), F.size(similarity.change_segments("a", "b")).alias("n")).first()
+    assert 0.6 < got["r"] < 0.9 and got["n"] > 0
