@@ -120,6 +120,11 @@ def _rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, text)
 
 
+def _rewritten_if(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The same for rules that rarely apply: where none of them is found none is tried."""
+    return let(text, lambda t: F.when(_any(t, [p.removeprefix("(?i)") if p.startswith("(?i)") else f"(?-i:{p})" for p, _ in rules]), _rewritten(t, rules)).otherwise(t))
+
+
 def _any(text: Column, patterns: list[str], flags: str = "(?i)") -> Column:
     """Whether one of the patterns is found, by one expression of them all."""
     return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
@@ -136,7 +141,7 @@ def _n_words(text: Column) -> Column:
 
 def ascii_folded(text: Column) -> Column:
     """Accents folded, and every other sign outside ASCII left out."""
-    return F.regexp_replace(folded(text), r"[^\x00-\x7f]", "")
+    return let(folded(text), lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, r"[^\x00-\x7f]", "")))
 
 
 def matching_key(text: Column) -> Column:
@@ -147,7 +152,7 @@ def matching_key(text: Column) -> Column:
 
 def without_periods(text: Column, calendar: bool = True) -> Column:
     """Without phrases that name a period, and without years, dates and months where ``calendar`` is set."""
-    t = _rewritten(ascii_folded(text), [(p, " ") for p in TEMPORAL + (CALENDAR if calendar else [])])
+    t = _rewritten_if(ascii_folded(text), [(p, " ") for p in TEMPORAL + (CALENDAR if calendar else [])])
     return _without(squeezed(t), r"^[ \-:;,./]+", r"[ \-:;,./]+$")
 
 
@@ -282,9 +287,9 @@ def label_key(label: Column) -> Column:
         k = _undated(c)
         k = F.regexp_replace(F.regexp_replace(k, r"\b(\d{1,3})[.,]0{1,4}(?=\s*%)", "$1"), r"\b(\d{1,3})[.,](\d{0,3}[1-9])0*(?=\s*%)", "$1,$2")
         k = F.regexp_replace(let(k, _without_unit_header), r"(?i)d'impots?", "d'impot")
-        k = _rewritten(without_note_variants(k), WORDINGS)
+        k = _rewritten_if(without_note_variants(k), WORDINGS)
         k = let(k, lambda x: F.when(number_is_meant(x), x).otherwise(without_trailing_value(x)))
-        k = let(singular(F.lower(squeezed(_rewritten(k, WORDINGS_AT_LAST)))), _without_total)
+        k = let(singular(F.lower(squeezed(_rewritten_if(k, WORDINGS_AT_LAST)))), _without_total)
         return F.when((c == "") | date_line(c) | excluded_line(c).isNotNull(), "").otherwise(k)
 
     return let(t, key)

@@ -28,8 +28,8 @@ def squeezed(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Without accents; other letters stay."""
-    return F.translate(blank(text), ACCENTED, FOLDED)
+    """Without accents; other letters stay. A text of one byte a letter has none and is passed on as it is."""
+    return let(blank(text), lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.translate(t, ACCENTED, FOLDED)))
 
 
 def block_key(text: Column) -> Column:

@@ -9,10 +9,12 @@ text, however often either repeats itself, and which words are covered does not
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from driftline.functions.text import blank, let, squeezed
+from driftline.functions.text import blank, squeezed
 from driftline.sources.scratch import written
 
 #: Words of an anchor. A text of fewer words is one anchor as a whole.
@@ -52,33 +54,34 @@ def spans(nodes: DataFrame, size: int = ANCHOR) -> DataFrame:
     return found.select("component", "node", "start", "end", "other", "other_start")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "span")])))
+def _tiled(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Greedy tiles of spans in order of their starts; ``span`` is the place of the one that a tile is cut from."""
+    out = []
+    for begin, stop in zip(starts, ends):
+        kept, covered, far, span = [], 0, -1, -1
+        for i, (s, e) in enumerate(zip(begin, stop)):
+            if s > covered:
+                if far > covered:
+                    kept.append({"start": covered, "end": far, "span": span})
+                covered, far = max(covered, far, 0), -1
+                covered = max(covered, s)
+            if e > far:
+                far, span = e, i
+        if far > covered:
+            kept.append({"start": covered, "end": far, "span": span})
+        out.append(kept)
+    return pd.Series(out)
+
+
 def tiles(found: Column) -> Column:
     """The fewest spans that cover what all ``found`` spans of a text cover, cut so that no two overlap, in order.
 
-    ``found`` are structs of ``start``, ``end`` and whatever else names a span.
+    ``found`` are structs of ``start``, ``end`` and whatever else names a span, sorted. The choice goes once over them; it
+    is left to Python since an array that a fold makes longer is copied at each step.
     """
-    ordered = F.array_sort(found)
-    kind = "array<struct<start:int,end:int,span:int>>"
-    none = F.struct(F.lit(0).alias("covered"), F.lit(-1).alias("far"), F.lit(-1).alias("span"), F.array().cast(kind).alias("kept"))
-    tile = lambda a: F.array(F.struct(a["covered"].alias("start"), a["far"].alias("end"), a["span"].alias("span")).cast("struct<start:int,end:int,span:int>"))
-
-    def put(a: Column) -> Column:
-        more = a["far"] > a["covered"]
-        return F.struct(F.greatest(a["covered"], a["far"]).alias("covered"), F.lit(-1).alias("far"), F.lit(-1).alias("span"), F.when(more, F.concat(a["kept"], tile(a))).otherwise(a["kept"]).alias("kept"))
-
-    def step(a: Column, at: Column) -> Column:
-        start, end = F.get(ordered, at)["start"], F.get(ordered, at)["end"]
-
-        def take(b: Column) -> Column:
-            better = end > b["far"]
-            return F.struct(F.greatest(b["covered"], start).alias("covered"), F.when(better, end).otherwise(b["far"]).alias("far"), F.when(better, at).otherwise(b["span"]).alias("span"), b["kept"].alias("kept"))
-
-        return let(F.when(start > a["covered"], put(a)).otherwise(a), take)
-
-    state = "struct<covered:int,far:int,span:int,kept:" + kind + ">"
-    places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
-    done = F.aggregate(places, none.cast(state), lambda a, i: step(a, i).cast(state), lambda a: put(a)["kept"])
-    return F.transform(done, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.get(ordered, t["span"]).alias("span")))
+    chosen = _tiled(F.transform(found, lambda s: s["start"]), F.transform(found, lambda s: s["end"]))
+    return F.transform(chosen, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.get(found, t["span"]).alias("span")))
 
 
 def _between(w: Column, found: Column) -> Column:
@@ -95,7 +98,8 @@ def coverage(nodes: DataFrame, size: int = ANCHOR) -> DataFrame:
     A null or blank text has no words and an empty residual; a node whose component has no node of the other side is
     covered nowhere.
     """
-    found = spans(nodes, size).groupBy("component", "node").agg(tiles(F.collect_list(F.struct("start", "end", "other", "other_start"))).alias("tiles"))
+    found = spans(nodes, size).groupBy("component", "node").agg(F.array_sort(F.collect_list(F.struct("start", "end", "other", "other_start"))).alias("spans"))
+    found = found.select("component", "node", tiles(F.col("spans")).alias("tiles"))
     rows = nodes.join(found, ["component", "node"], "left").withColumns({"_w": words(F.col("text")), "tiles": F.coalesce("tiles", F.array().cast(found.schema["tiles"].dataType))})
     covered = F.aggregate("tiles", F.lit(0), lambda a, t: a + t["end"] - t["start"])
     return rows.withColumns({"n_words": F.size("_w"), "covered": covered, "residual": F.array_join(_between(F.col("_w"), F.col("tiles")), " ")}).drop("_w")

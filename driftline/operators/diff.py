@@ -41,9 +41,11 @@ def rename_candidates(changes: DataFrame, by: list[str], key: str, threshold: fl
     side = lambda op: one.where(F.col("op") == op).select(*by, "token", F.col(key).alias(op), F.col("tokens").alias(f"{op}_tokens"))
     a, b = F.size("removed_tokens"), F.size("added_tokens")
     fits = F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9
-    met = side("removed").join(side("added"), [*by, "token"]).where(fits).drop("token").dropDuplicates([*by, "removed", "added"])
+    met = side("removed").join(side("added"), [*by, "token"]).where(fits)
     shared = F.size(F.array_intersect("removed_tokens", "added_tokens"))
-    return met.withColumn("score", shared / (a + b - shared)).where(F.col("score") >= threshold).select(*by, "removed", "added", "score")
+    # A pair that meets on several tokens is scored each time, and only pairs that are alike are shuffled.
+    scored = met.select(*by, "removed", "added", (shared / (a + b - shared)).alias("score"))
+    return scored.where(F.col("score") >= threshold).dropDuplicates([*by, "removed", "added"])
 
 
 def renames(candidates: DataFrame, by: list[str]) -> DataFrame:

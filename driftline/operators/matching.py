@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.operators.graph import connected
 from driftline.sources.scratch import drop_written, written
@@ -70,53 +74,144 @@ def greedy(pairs: DataFrame, minimum: float) -> DataFrame:
     return one_to_one(pairs.where(F.col("score") >= minimum), [F.col("score")]).select(pairs.columns)
 
 
-def _assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a least-cost assignment (rows <= columns), by shortest augmenting paths."""
-    n, m = cost.shape
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for row in range(1, n + 1):
-        owner[0], at = row, 0
-        best, way, seen = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while owner[at]:
-            seen[at] = True
-            free = ~seen[1:]
-            reduced = cost[owner[at] - 1] - u[owner[at]] - v[1:]
-            better = free & (reduced < best[1:])
-            best[1:][better], way[1:][better] = reduced[better], at
-            nxt = 1 + int(np.argmin(np.where(free, best[1:], np.inf)))
-            step = best[nxt]
-            u[owner[seen]] += step
-            v[seen] -= step
-            best[~seen] -= step
-            at = nxt
-        while at:
-            owner[at], at = owner[way[at]], way[at]
-    out = np.full(n, -1)
-    for col in range(1, m + 1):
-        if owner[col]:
-            out[owner[col] - 1] = col - 1
-    return out
+def _assign(n: int, left: np.ndarray, right: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which of the scored pairs an assignment of highest total takes, by shortest augmenting paths along the pairs alone.
+
+    A left row may stay free at no gain. ``n`` counts the left rows; both sides are numbered from 0. The work goes with the
+    pairs that paths touch, and what is held with their number, never with the product of the sides.
+    """
+    order = np.argsort(left, kind="stable")
+    starts = np.searchsorted(left[order], np.arange(n + 1))
+    to, cost = right[order].tolist(), (-score[order]).tolist()
+    m = int(right.max()) + 1 if len(right) else 0
+    # Behind the right rows stand n places of no cost, one for each left row.
+    price, owner, taken = [0.0] * (m + n), [-1] * (m + n), [-1] * n
+    for row in range(n):
+        best, via, done, heap = {}, {}, set(), []
+        # Lengths count from the free row; a matched row is reached at the length of the place that it holds.
+        at, base = row, 0.0
+        while True:
+            own = taken[at]
+            shift = (0.0 if own < 0 else -(cost[own] if own < len(cost) else 0.0) + price[to[own] if own < len(cost) else m + at]) + base
+            for e in (*range(starts[at], starts[at + 1]), len(cost) + at):
+                place, c = (to[e], cost[e]) if e < len(cost) else (m + at, 0.0)
+                length = shift + c - price[place]
+                if place not in done and length < best.get(place, np.inf) - 1e-15:
+                    best[place], via[place] = length, (at, e)
+                    heapq.heappush(heap, (length, place))
+            while True:
+                length, place = heapq.heappop(heap)
+                if place not in done and length == best[place]:
+                    break
+            done.add(place)
+            if owner[place] < 0:
+                break
+            at, base = owner[place], length
+        for p in done:
+            price[p] -= length - best[p]
+        while True:
+            at, e = via[place]
+            before = taken[at]
+            owner[place], taken[at] = at, e
+            if at == row:
+                break
+            place = to[before] if before < len(cost) else m + at
+    chosen = np.zeros(len(score), bool)
+    chosen[order[[e for e in taken if 0 <= e < len(cost)]]] = True
+    return chosen
+
+
+def _decided(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs that some best assignment holds for certain, and the pairs of rows that are left.
+
+    A pair that scores at least as much as the best other pairs of both its rows together can replace them in any
+    assignment. Of such pairs that share a row the first is taken.
+    """
+    w = lambda side: Window.partitionBy("block", side).orderBy(F.desc("score"), "left", "right")
+    other = lambda side, id_: F.coalesce(F.when(F.row_number().over(w(side)) == 1, F.lead("score").over(w(side))).otherwise(F.first("score").over(w(side))), F.lit(0.0))
+    sure = edges.withColumns({"_a": other("left", "right"), "_b": other("right", "left")}).where(F.col("score") >= F.col("_a") + F.col("_b")).drop("_a", "_b")
+    won = sure.withColumns({"_i": F.row_number().over(w("left")), "_j": F.row_number().over(w("right"))}).where("_i = 1 and _j = 1").drop("_i", "_j")
+    won = written(won, "won")
+    rest = edges.join(won.select("block", "left"), ["block", "left"], "left_anti").join(won.select("block", "right"), ["block", "right"], "left_anti")
+    return won, written(rest, "edges")
+
+
+def auction(edges: DataFrame, digits: int = 6, step: int = 8) -> DataFrame:
+    """The pairs of ``edges(a, b, score)`` that an assignment of highest total takes, in rounds of bids, for graphs of any size.
+
+    Every row without a place bids for the one that is worth most to it after its price, by as much as it is worth more than
+    the next best and a little more; the highest bid takes the place and sets its price. A row may stay free: it then has
+    a place of its own, and the row on the other side that stays free has one too, so all rows find a place and prices may
+    start anywhere. The little more is made smaller in phases until it is less than a unit of the last digit shared by all
+    rows; the total is then the highest for scores of so many digits. A round is a join and two grouped maxima over the
+    rows that have no place; no task holds more than the pairs of one row.
+    """
+    spark = edges.sparkSession
+    known = written(edges.select(F.struct(F.lit(0).alias("s"), F.col("a").alias("id")).alias("a"), F.struct(F.lit(1).alias("s"), F.col("b").alias("id")).alias("b"), F.round(F.col("score") * 10**digits).cast("long").alias("gain")), "pairs")
+    sides = known.select(F.countDistinct("a").alias("n"), F.countDistinct("b").alias("m"), F.max("gain").alias("most")).first()
+    unit = sides["n"] + sides["m"] + 1
+    none = F.lit(0).cast("long")
+    both = [known.select("a", "b", (F.col("gain") * unit).alias("gain")), known.select(F.col("b").alias("a"), F.col("a").alias("b"), none.alias("gain")), known.select("a", F.col("a").alias("b"), none.alias("gain")).distinct(), known.select(F.col("b").alias("a"), "b", none.alias("gain")).distinct()]
+    wanted = written(reduce(DataFrame.unionByName, both).withColumnRenamed("a", "person").withColumnRenamed("b", "place"), "wanted")
+    people = written(wanted.select("person").distinct(), "people")
+    kind = wanted.schema["place"].dataType
+    state = written(spark.createDataFrame([], T.StructType([T.StructField("place", kind), T.StructField("price", T.LongType()), T.StructField("owner", kind)])), "state")
+    more = max(1, sides["most"] * unit // 4)
+    while True:
+        while True:
+            free = people.join(state.select(F.col("owner").alias("person")), "person", "left_anti")
+            asked = wanted.join(free, "person", "left_semi").join(state.select("place", "price"), "place", "left").withColumn("worth", F.col("gain") - F.coalesce("price", none))
+            w = Window.partitionBy("person").orderBy(F.desc("worth"), "place")
+            top = asked.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
+            bids = top.groupBy("person").agg(F.max(F.when(F.col("rank") == 1, F.struct("place", "gain"))).alias("first"), F.max(F.when(F.col("rank") == 2, F.col("worth"))).alias("next"))
+            bids = bids.select("person", "first.place", (F.col("first.gain") - F.col("next") + more).alias("bid"))
+            won = bids.groupBy("place").agg(F.max(F.struct("bid", "person")).alias("w")).select("place", "w.bid", "w.person")
+            after = state.join(won, "place", "full").select("place", F.coalesce("bid", "price").alias("price"), F.coalesce("person", "owner").alias("owner"))
+            after = written(after, "state")
+            drop_written(state)
+            state = after
+            if state.where("owner is not null").count() == unit - 1:
+                break
+        if more == 1:
+            break
+        more = max(1, more // step)
+        state = written(state.withColumn("owner", F.lit(None).cast(kind)), "state")
+    return state.where("owner.s = 0 and place.s = 1").select(F.col("owner.id").alias("a"), F.col("place.id").alias("b"))
 
 
-def optimal(pairs: DataFrame, minimum: float) -> DataFrame:
+def optimal(pairs: DataFrame, minimum: float, task_pairs: int = 2_000_000) -> DataFrame:
     """The assignment of highest total score; a row stays unmatched rather than take a pair below ``minimum``.
 
-    Rows that no chain of such pairs connects are matched independently, so each connected component is solved by
-    itself, in parallel; a component is what one task has to hold. A column of its own lets any row stay free.
+    Pairs that are certain are taken first, which also parts what is left. Rows that no chain of pairs connects are then
+    matched independently: a connected component of at most ``task_pairs`` pairs by paths in one task, a larger one by
+    an auction in rounds over all of Spark (exact for scores of six digits).
     """
     node = lambda side: F.xxhash64("block", F.lit(side), side)
-    good = pairs.where(F.col("score") >= minimum).withColumns({"_a": node("left"), "_b": node("right")})
-    good = written(good, "edges")
+    left, taken = written(pairs.where(F.col("score") >= minimum), "edges"), []
+    for _ in range(6):
+        won, rest = _decided(left)
+        drop_written(left)
+        taken, left = [*taken, won], rest
+        if left.isEmpty() or won.isEmpty():
+            break
+    good = left.withColumns({"_a": node("left"), "_b": node("right")})
     home = connected(good.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("_a"), "root")
+    placed = written(good.join(home, "_a"), "placed")
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, r = np.unique(pdf["left"], return_inverse=True)
-        cols, c = np.unique(pdf["right"], return_inverse=True)
-        gain = np.zeros((len(rows), len(cols) + len(rows)))
-        gain[r, c] = pdf["score"]
-        return pdf[_assign(-gain)[r] == c].drop(columns="root")
-
-    return good.join(home, "_a").select(*pairs.columns, "root").groupBy("root").applyInPandas(run, pairs.schema)
+        _, c = np.unique(pdf["right"], return_inverse=True)
+        return pdf[_assign(len(rows), r, c, pdf["score"].to_numpy(float))]
+
+    small = placed.join(sizes.where(F.col("n") <= task_pairs), "root", "left_semi").select(*pairs.columns, "root")
+    found = small.groupBy("root").applyInPandas(lambda pdf: run(pdf).drop(columns="root"), pairs.schema)
+    large = placed.join(sizes.where(F.col("n") > task_pairs), "root", "left_semi")
+    if not large.isEmpty():
+        large = written(large, "large")
+        chosen = auction(large.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "score"))
+        found = found.unionByName(large.join(chosen.select(F.col("a").alias("_a"), F.col("b").alias("_b")), ["_a", "_b"]).select(pairs.columns))
+    return reduce(DataFrame.unionByName, [t.select(pairs.columns) for t in taken], found)
 
 
 def unmatched(rows: DataFrame, matched: DataFrame, side: str) -> DataFrame:

@@ -296,8 +296,8 @@ _BY_RUNS = "CASE WHEN doc_id // 20 % 2 = 0 THEN 't1' ELSE 't2' END"
     rf"""WITH d AS (SELECT coalesce(lang, '') || ':' || coalesce(source, '') AS section, doc_id, {_BY_RUNS} AS side, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM documents),
 a AS (SELECT section, doc_id, side, len(w) AS n, w, unnest(range(0, greatest(len(w) - {coverage.ANCHOR}, 0) + 1)) AS i FROM d WHERE len(w) > 0),
 g AS (SELECT section, doc_id, side, n, i, least(n, {coverage.ANCHOR}) || ':' || array_to_string(w[i + 1:i + {coverage.ANCHOR}], ' ') AS run FROM a),
-h AS (SELECT DISTINCT section, side, run FROM g), k AS (SELECT g.doc_id, unnest(range(i, i + least(n, {coverage.ANCHOR}))) AS at FROM g SEMI JOIN h ON g.section = h.section AND g.run = h.run AND g.side <> h.side),
-c AS (SELECT doc_id, count(DISTINCT at) AS covered FROM k GROUP BY 1)
+h AS (SELECT DISTINCT section, side, run FROM g), k AS (SELECT g.doc_id, unnest(range(i, i + least(n, {coverage.ANCHOR}))) AS place FROM g SEMI JOIN h ON g.section = h.section AND g.run = h.run AND g.side <> h.side),
+c AS (SELECT doc_id, count(DISTINCT place) AS covered FROM k GROUP BY 1)
 SELECT section, doc_id, side, len(w)::BIGINT AS n_words, coalesce(covered, 0) AS covered FROM d LEFT JOIN c USING (doc_id) WHERE len(w) > 0"""
 )
 def fragment_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import labels, period, predicates, similarity, text
 from driftline.operators import diff, graph, matching, metrics, sequence
-from driftline.sources.scratch import written
+from driftline.sources.scratch import partitions, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,20 +39,22 @@ def labels_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"))
     customer = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
-    name = F.concat("p_name", F.lit(" of the "), F.lower("p_type"), F.lit(" line by "), F.replace(F.lower("p_brand"), F.lit("#"), F.lit(" ")), F.lit(" in retail stores"))
+    name = F.concat("p_name", F.lit(" by "), F.replace(F.lower("p_brand"), F.lit("#"), F.lit(" ")), F.lit(" of the "), F.lower("p_type"), F.lit(" line"))
     part = read(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     joined = items.join(orders, items.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     printed = F.when(F.col("quarter") == 1, F.concat("name", F.lit(" (1)"))).when(F.col("quarter") == 2, F.concat("name", F.lit(" au 30 avril "), F.col("year").cast("string"))).when(F.col("quarter") == 3, F.concat("name", F.lit(" (en millions de dollars)"))).otherwise(F.concat(F.lit("29 "), "name"))
     rows = joined.select("nation", printed.alias("printed"), "year", "quarter").distinct()
+    rows = written(rows, "printed")
     keys = rows.select("printed").distinct().withColumn("label", labels.label_key(F.col("printed")))
-    return rows.join(keys, "printed").select("nation", "label", "year", "quarter").distinct()
+    # Every query of changes reads this table several times; written once, no label is keyed twice.
+    return written(rows.join(keys, "printed").select("nation", "label", "year", "quarter").distinct(), "labels")
 
 
 LABELS = r"""printed AS (SELECT DISTINCT c_nationkey AS nation, year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter,
   CASE quarter(o_orderdate) WHEN 1 THEN name || ' (1)' WHEN 2 THEN name || ' au 30 avril ' || year(o_orderdate) WHEN 3 THEN name || ' (en millions de dollars)' ELSE '29 ' || name END AS printed
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN (SELECT p_partkey, p_name || ' of the ' || lower(p_type) || ' line by ' || replace(lower(p_brand), '#', ' ') || ' in retail stores' AS name FROM part) ON l_partkey = p_partkey),
+  JOIN (SELECT p_partkey, p_name || ' by ' || replace(lower(p_brand), '#', ' ') || ' of the ' || lower(p_type) || ' line' AS name FROM part) ON l_partkey = p_partkey),
   bare AS (SELECT nation, year, quarter, regexp_replace(regexp_replace(printed, '^[0-9]{1,3} +', ''), ' *(\([0-9]+\)|au [0-9]+ [a-z]+ [0-9]{4}|\(en millions de dollars\))$', '') AS label FROM printed),
   labels AS (SELECT DISTINCT nation, year, quarter, array_to_string(list_transform(string_split(label, ' '), lambda w: CASE WHEN length(w) > 3 AND right(w, 1) = 's' THEN left(w, length(w) - 1) ELSE w END), ' ') AS label FROM bare)"""
 #: Pairs of a period and the one it is compared with, where both exist.
@@ -88,11 +90,10 @@ def label_change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("nation", "year", "quarter", "label", "op", period.display_label(F.col("year"), F.col("quarter")).alias("period"))
 
 
-_RENAMES = f"""WITH {PAIRS}, t AS (SELECT nation, year, quarter, op, label, list_distinct(string_split(label, ' ')) AS toks FROM changes WHERE op <> 'kept')
-SELECT a.nation, a.year, a.quarter, a.label AS removed, b.label AS added,
-  round(len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))), 6) AS score
-FROM t a JOIN t b ON a.op = 'removed' AND b.op = 'added' AND a.nation = b.nation AND a.year = b.year AND a.quarter = b.quarter
-WHERE len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))) >= 0.8"""
+_RENAMES = f"""WITH {PAIRS}, t AS (SELECT nation, year, quarter, op, label, list_distinct(string_split(label, ' ')) AS toks FROM changes WHERE op <> 'kept'),
+u AS (SELECT nation, year, quarter, op, label, len(toks) AS n, unnest(toks) AS tok FROM t),
+s AS (SELECT a.nation, a.year, a.quarter, a.label AS removed, b.label AS added, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b USING (nation, year, quarter, tok) WHERE a.op = 'removed' AND b.op = 'added' GROUP BY ALL)
+SELECT nation, year, quarter, removed, added, round(common / (na + nb - common), 6) AS score FROM s WHERE common / (na + nb - common) >= 0.8"""
 
 
 @query(_RENAMES)
@@ -421,7 +422,8 @@ def verbatim_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = matching.mutual_best(_chunk_pairs(spark, sf_dir), 0.6)
     docs = read(spark, sf_dir, "documents")
     old, new = docs.select(F.col("doc_id").alias("left"), F.col("text").alias("previous")), docs.select(F.col("doc_id").alias("right"), F.col("text").alias("current"))
-    rows = pairs.join(old, "left").join(new, "right")
+    # A pair of long texts takes seconds of its own, so the few pairs are dealt to as many tasks as there are.
+    rows = pairs.join(old, "left").join(new, "right").repartition(4 * partitions(spark), "left", "right")
     return rows.select("left", "right", F.round(similarity.sequence_ratio("previous", "current"), 4).alias("ratio"), F.explode(similarity.change_segments("previous", "current")).alias("change")).select("left", "right", "ratio", "change.*")
 
 

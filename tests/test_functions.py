@@ -78,7 +78,7 @@ def test_optimal_beats_every_permutation(spark):
         pairs = spark.createDataFrame([("b", i, j, score[i][j]) for i in range(n) for j in range(n)], "block string, left long, right long, score double")
         total = sum(r["score"] for r in matching.optimal(pairs, 0.0).collect())
         assert total == pytest.approx(max(sum(score[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n))))
-    assert matching._assign(np.array([[1.0, 2.0], [1.0, 3.0]])).tolist() == [1, 0]
+    assert matching._assign(2, np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), np.array([1.0, 2.0, 1.0, 3.0])).tolist() == [True, False, False, True]
 
 
 def test_greedy_and_mutual_best(spark):
@@ -127,11 +127,6 @@ def test_vote_needs_a_clear_winner(spark):
 
 
 def test_matching_blocks_equal_the_library(monkeypatch):
-    import difflib
-    import random
-
-    import numpy as np
-
     monkeypatch.setattr(similarity, "SMALL", 30)  # so that short lists take the way of long ones
     r = random.Random(1)
     for _ in range(400):

@@ -1,6 +1,6 @@
 import pytest
 
-from driftline.plans import changes, reporting  # noqa: F401  changes adds its queries
+from driftline.plans import changes, recovered, reporting  # noqa: F401  the others add their queries
 from tests.oracle import duck, same
 
 
