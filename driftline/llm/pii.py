@@ -47,6 +47,8 @@ GATE = r"[@0-9\"']|AKIA|ASIA|[a-fA-F]:[a-fA-F]|M(?:r|s|iss|me|lle|\.)|Herr|Frau|
 ALL = "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: The codes of countries by their first digits; all others have three.
 COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: What a domain keeps, its last label, or two where the one before is a registry's own.
+SUFFIX = r"(?i)(?<=.)(\.(?:co|com|org|net|gov|gob|edu|ac|or|ne)\.[a-z]{2}|\.[^.]+)$"
 #: From this attempt on surrogates are drawn from a wider format.
 WIDE = 8
 _TITLE = r"^(Mrs|Mr|Ms|Miss|Herr|Frau|Mme|Mlle|Señora|Señor|M\.|Sr\.|Sra\.|г-н|г-жа)\.? "
@@ -148,7 +150,7 @@ def surrogate(surface: Column, kind: Column, digest: Column, wide: Column | None
     extra = more(23, 24, 25, 26, 27, 28)
     plain = _replaced(surface, kind, digest)
     local, domain = F.substring_index(surface, "@", 1), F.substring_index(surface, "@", -1)
-    tail = F.regexp_extract(domain, r"(\.[^.]+\.[^.]+|\.[^.]+)$", 1)
+    tail = F.regexp_extract(domain, SUFFIX, 1)
     mail = F.concat(_replaced(local, kind, digest), extra, F.lit("@"), _replaced(F.left(domain, F.length(domain) - F.length(tail)), kind, F.reverse(digest)), tail)
     octets = F.transform(F.split(surface, r"\."), lambda o, i: F.when(wide, _at(digest, i, 256)).when(F.length(o) == 1, _at(digest, i, 10)).when(F.length(o) == 2, _at(digest, i, 90) + 10).otherwise(_at(digest, i, 156) + 100).cast("string"))
     # A card's last digit is set so that the check-sum holds, an account's two digits behind its country too.
@@ -185,11 +187,13 @@ def retries(known: DataFrame, secret: str, max_rounds: int = 64) -> DataFrame:
     """The entities whose first surrogates collide, with the attempt at which they no longer do.
 
     Of entities that share a surrogate the one with the least value keeps it; the others try again, and so does
-    an entity whose surrogate is the true value of an entity. Only those that collide are carried on, from the
+    an entity whose surrogate is the true value of an entity; of names the last word counts. Only those that collide are carried on, from the
     attempt ``WIDE`` on in a format with a million times more values, in which hardly any collide again.
     """
     attempts = None
-    true = known.select("kind", F.col("value").alias("taken"))
+    # Persons are told by their last names, by which a text may call them.
+    told = lambda kind, value: F.when(kind == "name", F.substring_index(value, " ", -1)).otherwise(value)
+    true = known.select("kind", told(F.col("kind"), F.col("value")).alias("taken"))
     for _ in range(max_rounds):
         if attempts is None:
             now = known.withColumn("attempt", F.lit(0))
@@ -197,7 +201,7 @@ def retries(known: DataFrame, secret: str, max_rounds: int = 64) -> DataFrame:
             now = known.join(attempts, ["kind", "value"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
         now = now.withColumn("digest", digest_of(F.col("kind"), F.col("value"), F.col("attempt"), secret))
         now = written(now.withColumn("made", surrogate(F.col("surface"), F.col("kind"), F.col("digest"), F.col("attempt") >= WIDE)), "made")
-        made = now.select("kind", "value", "attempt", canonical(F.col("made"), F.col("kind")).alias("taken"))
+        made = now.select("kind", "value", "attempt", told(F.col("kind"), canonical(F.col("made"), F.col("kind"))).alias("taken"))
         keeper = made.groupBy("kind", "taken").agg(F.count("*").alias("n"), F.min("value").alias("keeper")).where("n > 1")
         shared = made.join(keeper, ["kind", "taken"]).where("value <> keeper").select("kind", "value", "attempt")
         stolen = made.join(true, ["kind", "taken"], "left_semi").select("kind", "value", "attempt")
@@ -247,14 +251,24 @@ def pseudonymised(docs: DataFrame, secret: str, text: str = "text", small: int =
     keyed = F.transform(typed, lambda e: F.struct(e["s"].alias("s"), e["kind"].alias("kind"), e["attempt"].alias("attempt"), digest_of(e["kind"], canonical(e["s"], e["kind"]), e["attempt"], secret).alias("digest")))
     put = F.transform(keyed, lambda e: F.struct(F.when(e["kind"].isNull(), e["s"]).otherwise(surrogate(e["s"], e["kind"], e["digest"], e["attempt"] >= WIDE)).alias("to"), e["s"].alias("s"), e["kind"].alias("kind")))
     joined = F.array_join(F.flatten(F.zip_with(parts, F.concat(F.transform("pii_put", lambda e: e["to"]), F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
-    # Persons named with a title: their full names first, then their last names, wherever else the text has them.
+    # Persons named with a title: their full names first, then their last names, wherever else the text has them. Entities
+    # and mentions are found in one pass over the text as it was, so nothing that was put in is ever replaced again.
     bare = lambda c: F.regexp_replace(c, _TITLE, "")
     full = F.transform(F.filter("pii_put", lambda e: e["kind"] == "name"), lambda e: F.struct(bare(e["s"]).alias("was"), bare(e["to"]).alias("now")))
     last = F.transform(full, lambda e: F.struct(F.substring_index(e["was"], " ", -1).alias("was"), F.substring_index(e["now"], " ", -1).alias("now")))
-    people = F.array_distinct(F.concat(full, last))
-    mentions = F.aggregate(people, F.col(text), lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), e["was"], F.lit(r"(?![\p{L}\p{N}])")), e["now"]))
+    named = F.transform("pii_people", lambda e: e["was"])
+    first = lambda pairs, key: F.filter(pairs, lambda e, i: F.array_position(key, e["was"]) == i + 1)  # noqa: E731  one that two persons share is the first one's
+    either = F.concat(F.lit(ALL + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(named, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    put_pairs = F.transform("pii_put", lambda e: F.struct(e["s"].alias("was"), e["to"].alias("now")))
+    known_as = F.map_from_entries(first(put_pairs, F.transform("pii_put", lambda e: e["s"])))
+    called = F.map_from_entries(first(F.col("pii_people"), named))
+    replaced = F.transform(F.regexp_extract_all(col, F.col("pii_either"), F.lit(0)), lambda s: F.coalesce(F.try_element_at("pii_known", s), F.try_element_at("pii_called", s), s))
+    mentions = F.array_join(F.flatten(F.zip_with(F.split(col, F.col("pii_either"), -1), F.concat(replaced, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
     n = F.size(F.filter(typed, lambda e: e["kind"].isNotNull())).cast("long")
     has = col.rlike(GATE) & col.rlike(ALL)
     out = mapped.withColumn("n_entities", F.when(has, n).otherwise(F.lit(0).cast("long"))).withColumn("pii_put", F.when(has, put))
-    out = out.withColumn(text, F.when(has, joined).otherwise(col)).withColumn(text, F.when(F.exists("pii_put", lambda e: e["kind"] == "name"), mentions).otherwise(F.col(text)))
+    person = F.exists("pii_put", lambda e: e["kind"] == "name")
+    out = out.withColumn("pii_people", F.when(person, F.concat(full, last)))
+    out = out.withColumns({"pii_either": F.when(F.col("pii_people").isNotNull(), either), "pii_known": F.when(F.col("pii_people").isNotNull(), known_as), "pii_called": F.when(F.col("pii_people").isNotNull(), called)})
+    out = out.withColumn(text, F.when(F.col("pii_people").isNotNull(), mentions).when(has, joined).otherwise(col))
     return out.select(*docs.columns, "n_entities")
