@@ -162,3 +162,10 @@ def sql(docs: str = "documents", policy: str = "v2") -> str:
       len(lines) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_shouts, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters FROM l LEFT JOIN z USING (r)),
     b AS (SELECT *, ({bits})::BIGINT AS failed_bits FROM m)
     SELECT *, '{policy}' AS policy, failed_bits & {mask('base')} <> 0 AS base_failed, failed_bits & {mask(policy) | mask('base')} = 0 AS kept FROM b"""
+
+
+def ablations_sql(docs: str = "documents", policy: str = "v2") -> str:
+    """The ablations in DuckDB's SQL, straight from the failure bits of every document."""
+    rules = ", ".join(f"('{policy}', '{r}', {bit(r)}::BIGINT)" for r in POLICIES[policy])
+    return f"""WITH q AS ({sql(docs, policy)}), r(policy, rule, bit) AS (VALUES {rules}), f AS (SELECT failed_bits & {mask(policy)} AS bits FROM q)
+    SELECT policy, rule, bit, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_failed_alone, count(*) FILTER (bits <> 0 AND bits & (~bit) = 0) AS n_passed_without FROM r LEFT JOIN f ON true GROUP BY ALL"""

@@ -94,4 +94,4 @@ _URLS = f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), r(verdict, h, p) AS (VALUES {_RULES}),
   m AS (SELECT u.page_id, max_by({{'rule': h || p, 'verdict': r.verdict}}, length(h || p) * 1000 + length(h)) AS best FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)"""
-SQL: dict[str, str] = {"op3_url_filters": _URLS, "op5_mixing": mixing.sql(), "op7_quality_rules": quality.sql(), "op4_embedding_near_dedup": embeddings.sql(), "op11_exact_top_k": knn.sql(), "op12_fill_in_middle": infill.sql(), "op13_ranked_search": retrieval.sql()}
+SQL: dict[str, str] = {"op3_url_filters": _URLS, "op5_mixing": mixing.sql(), "op7_quality_rules": quality.sql(), "quality_ablations": quality.ablations_sql(), "op4_embedding_near_dedup": embeddings.sql(), "op11_exact_top_k": knn.sql(), "op12_fill_in_middle": infill.sql(), "op13_ranked_search": retrieval.sql()}
