@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.sections import consensus
+
 # From this page on is the body of a report; least confidence in contents; starts this near are ambiguous.
 BODY, MIN_CONFIDENCE, NEAR = 45, 0.55, 3
 #: Titles that stand inside a section and end none.
@@ -96,3 +98,52 @@ def resolved(reports: DataFrame, found: DataFrame, by: list[str], concepts: list
         *by, "concept", "title", "page", F.when(tighter, own).otherwise(F.col("_end")).alias("end_page"), "method", F.when(tighter, F.col("alt.end_method")).otherwise(F.col("_way")).alias("end_method"),
         F.coalesce(F.col("next") - F.col("page") <= NEAR, F.lit(False)).alias("ambiguous"),
     )
+
+
+#: How much a source's pages weigh, and shortest and longest sections.
+SOURCES = {"section": 1.0, "toc": 0.8, "scan": 0.6}
+SHORTEST, LONGEST = 3, 50
+
+
+def medians(detections: DataFrame, by: list[str]) -> DataFrame:
+    """Weighted medians of start and end pages by ``by``: the first page by which half of the weight is reached.
+
+    ``detections`` are ``(by, source, start_page, end_page)``; a missing page weighs nothing, a table of contents says
+    nothing of ends.
+    """
+    weight = F.coalesce(*(F.when(F.col("source") == s, w) for s, w in SOURCES.items()), F.lit(0.0))
+    out = None
+    for page in ("start_page", "end_page"):
+        known = detections.withColumn("w", weight).where(F.col(page).isNotNull() & (F.lit(True) if page == "start_page" else F.col("source") != "toc"))
+        so_far = F.sum("w").over(Window.partitionBy(*by).orderBy(page).rangeBetween(Window.unboundedPreceding, 0))
+        half = F.sum("w").over(Window.partitionBy(*by)) / 2
+        # A hair below the half, since sums of tenths are not exact.
+        found = known.withColumns({"so_far": so_far, "half": half}).where(F.col("so_far") >= F.col("half") - 1e-9).groupBy(*by).agg(F.min(page).alias(f"median_{page}"))
+        out = found if out is None else out.join(found, by, "full")
+    return out
+
+
+def cross_validated(sections: DataFrame, detections: DataFrame, by: list[str]) -> DataFrame:
+    """Sections ``(by, start_page, end_page, confidence, keep_bounds, content_score, content_valid)`` judged by all sources.
+
+    ``detections`` hold what every source says of a section, the section's own row among them, in the same pages. Agreement
+    over 0.7 adds 0.2 to the confidence; under 0.5 it costs 0.3, and the pages become the weighted medians unless
+    ``keep_bounds``, with a confidence of 0.7 at most where that changes them. Then the content adds a tenth of its score
+    or, if it is not valid, costs 0.4.
+    """
+    agreed, middle = consensus(detections, by, SOURCES), medians(detections, by)
+    rows = sections.join(agreed, by, "left").join(middle, by, "left")
+    score, c = F.coalesce("consensus", F.lit(0.0)), F.col("confidence")
+    start, end = F.coalesce("median_start_page", "start_page"), F.coalesce("median_end_page", "end_page")
+    moved = (score < 0.5) & ~F.coalesce("keep_bounds", F.lit(False)) & ~(start.eqNullSafe(F.col("start_page")) & end.eqNullSafe(F.col("end_page")))
+    first = F.when(score > 0.7, F.least(F.lit(1.0), c + 0.2)).when(moved, F.least(c, F.lit(0.7))).when(score < 0.5, F.greatest(F.lit(0.0), c - 0.3)).otherwise(c)
+    last = F.when(F.coalesce("content_valid", F.lit(False)), F.least(F.lit(1.0), first + 0.1 * F.coalesce("content_score", F.lit(0.0)))).otherwise(F.greatest(F.lit(0.0), first - 0.4))
+    return rows.select(*by, F.when(moved, start).otherwise(F.col("start_page")).alias("start_page"), F.when(moved, end).otherwise(F.col("end_page")).alias("end_page"), last.alias("confidence"), score.alias("consensus"), moved.alias("is_corrected"))
+
+
+def suspicious(start: Column, end: Column, total_pages: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
+    """Whether bounds can't be right: missing, too short or long, or more than four fifths of the report."""
+    length = end - start + 1
+    missing = F.coalesce(start, F.lit(0)) == 0
+    missing = missing | (F.coalesce(end, F.lit(0)) == 0)
+    return missing | F.coalesce((length < shortest) | (length > longest), F.lit(True)) | F.coalesce((total_pages > 0) & (length > total_pages * 0.8), F.lit(False))

@@ -65,3 +65,41 @@ def test_resolved(spark):
     assert rows[3, "capital"] == ("c", 70, 71, "contents", "next_section", True) and rows[3, "risques"] == ("alt r", 72, None, "title", "no_successor", False)
     assert rows[4, "capital"] == ("c", 50, 51, "contents", "next_section", True) and rows[4, "risques"] == ("r", 52, 70, "contents", "title_end", False)
     assert rows[5, "capital"][3] == rows[5, "risques"][3] == "unresolved"
+
+
+def test_cross_validated(spark):
+    """Agreement, disagreement with and without leave to move the pages, and content."""
+    detections = [
+        ("same", "section", 50, 60), ("same", "toc", 50, None), ("same", "scan", 50, 60),
+        ("apart", "section", 10, 20), ("apart", "toc", 50, None), ("apart", "scan", 52, 70), ("apart", "scan", 51, 72),
+        ("kept", "section", 10, 20), ("kept", "toc", 50, None), ("kept", "scan", 52, 70), ("alone", "section", 5, 9),
+    ]
+    sections = [("same", 50, 60, 0.9, False, 0.5, True), ("apart", 10, 20, 0.9, False, 1.0, True), ("kept", 10, 20, 0.9, True, 0.0, False), ("alone", 5, 9, 0.6, False, None, True), ("none", 7, None, 0.2, False, 0.0, False)]
+    rows = boundaries.cross_validated(spark.createDataFrame(sections, "id string, start_page int, end_page int, confidence double, keep_bounds boolean, content_score double, content_valid boolean"), spark.createDataFrame(detections, "id string, source string, start_page int, end_page int"), ["id"])
+    got = {r["id"]: (r["start_page"], r["end_page"], round(r["confidence"], 9), r["is_corrected"]) for r in rows.collect()}
+    # apart: starts 10, 50, 51, 52 of weights 1, .8, .6, .6: half of 3 is reached at 50; ends 20, 70, 72 of 1, .6, .6 at 70.
+    assert got == {"same": (50, 60, 1.0, False), "apart": (50, 70, 0.8, True), "kept": (10, 20, 0.2, False), "alone": (5, 9, 0.6, False), "none": (7, None, 0.0, False)}
+
+
+def test_medians_equal_plain(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice(["section", "toc", "scan", "other"]), r.choice([None, r.randint(1, 9)]), r.choice([None, r.randint(9, 20)])) for i in range(40) for _ in range(r.randint(1, 6))]
+    got = {x["id"]: (x["median_start_page"], x["median_end_page"]) for x in boundaries.medians(spark.createDataFrame(rows, "id int, source string, start_page int, end_page int"), ["id"]).collect()}
+
+    def median(pairs):
+        pairs, total = sorted(pairs), sum(w for _, w in pairs)
+        return next((p for i, (p, _) in enumerate(pairs) if sum(w for _, w in pairs[: i + 1]) >= total / 2 - 1e-9), None)
+
+    weight = {**boundaries.SOURCES, "other": 0.0}
+    for i in range(40):
+        mine = [x for x in rows if x[0] == i]
+        want = (median([(x[2], weight[x[1]]) for x in mine if x[2] is not None]), median([(x[3], weight[x[1]]) for x in mine if x[3] is not None and x[1] != "toc"]))
+        assert got.get(i, (None, None)) == want
+
+
+def test_suspicious(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(1, 10, 100, False), (1, 2, 100, True), (1, 60, 100, True), (None, 5, 9, True), (1, None, 9, True), (1, 9, 10, True), (1, 9, None, False), (0, 9, 0, True)]
+    rows = spark.createDataFrame([c[:3] for c in cases], "s int, e int, t int").select(boundaries.suspicious(F.col("s"), F.col("e"), F.col("t"))).collect()
+    assert [x[0] for x in rows] == [c[3] for c in cases]
