@@ -36,37 +36,60 @@ def clear_margin(pairs: DataFrame, margin: float) -> DataFrame:
     return ranked.select("block", "left", "right", "score", second.alias("second"), (F.col("score") - second >= margin).alias("clear"))
 
 
-def one_to_one(pairs: DataFrame, best: list[Column], right_best: list[Column] | None = None, max_rounds: int = 200) -> DataFrame:
+def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one component taken as ``one_to_one`` does, by their places in the orders of both sides."""
+    l, r = (np.unique(pdf[c], return_inverse=True)[1] for c in ("left", "right"))
+    i, j = pdf["_i"].to_numpy(), pdf["_j"].to_numpy()
+    open_, taken = np.arange(len(pdf)), []
+    while len(open_):
+        first_l, first_r = np.full(l.max() + 1, len(pdf) + 1), np.full(r.max() + 1, len(pdf) + 1)
+        np.minimum.at(first_l, l[open_], i[open_])
+        np.minimum.at(first_r, r[open_], j[open_])
+        won = open_[(first_l[l[open_]] == i[open_]) & (first_r[r[open_]] == j[open_])]
+        if not len(won):
+            raise RuntimeError("the two orders run in a circle")
+        taken.append(won)
+        open_ = open_[~np.isin(l[open_], l[won]) & ~np.isin(r[open_], r[won])]
+    return pdf.iloc[np.concatenate(taken)].drop(columns=["root", "_i", "_j"])
+
+
+def one_to_one(pairs: DataFrame, best: list[Column], right_best: list[Column] | None = None, rounds: int = 6, task_pairs: int = 2_000_000) -> DataFrame:
     """Pairs ``(block, left, right, ...)`` taken best first, each row of either side once, in rounds over all blocks.
 
     ``best`` are columns by which a larger value is better; ties go to the lesser left, then right id. A pair that is
     the best left for both its rows is taken, its rows' other pairs go, and so on until none is left: the same pairs
-    as from one sorted list, but with grouped maxima and joins, and no block in one task. With ``right_best`` the
-    right side has an order of its own; the two orders must not run in a circle.
+    as from one sorted list, with no block in one task. With ``right_best`` the right side has an order of its own; the
+    two orders must not run in a circle. After ``rounds`` rounds little is left of most tables, but a chain of preferences
+    may go on for as many as it has pairs: connected components of at most ``task_pairs`` pairs are then settled each in
+    a task, and larger ones go on in rounds.
     """
     spark = pairs.sparkSession
-    kind = {c: pairs.schema[c].dataType for c in ("left", "right")}
     ranked = pairs.withColumn("_l", F.struct(*(c.alias(f"b{i}") for i, c in enumerate(best))))
     ranked = ranked.withColumn("_r", F.struct(*(c.alias(f"b{i}") for i, c in enumerate(right_best))) if right_best else F.col("_l"))
-    left = written(ranked, "pairs")
-    taken = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        by_left = Window.partitionBy("block", "left").orderBy(F.desc("_l"), "left", "right")
-        by_right = Window.partitionBy("block", "right").orderBy(F.desc("_r"), "left", "right")
-        won = left.withColumns({"_i": F.row_number().over(by_left), "_j": F.row_number().over(by_right)}).where("_i = 1 and _j = 1").drop("_i", "_j")
+    left, taken, n = written(ranked, "pairs"), [], 0
+    order = lambda by, key: Window.partitionBy(*by).orderBy(F.desc(key), "left", "right")
+    while not left.isEmpty():
+        n += 1
+        if n == rounds + 1:
+            node = lambda side: F.xxhash64("block", F.lit(side), side)
+            named = written(left.withColumns({"_a": node("left"), "_b": node("right")}), "pairs")
+            home = connected(named.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("_a"), "root")
+            placed = written(named.join(home, "_a").drop("_a", "_b"), "placed")
+            sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
+            small = placed.join(sizes.where(F.col("n") <= task_pairs), "root", "left_semi").withColumns({"_i": F.row_number().over(order(["root"], "_l")), "_j": F.row_number().over(order(["root"], "_r"))})
+            taken.append(written(small.select(*pairs.columns, "root", "_i", "_j").groupBy("root").applyInPandas(_settled, pairs.schema), "won"))
+            left = written(placed.join(sizes.where(F.col("n") > task_pairs), "root", "left_semi").select(ranked.columns), "pairs")
+            continue
+        won = left.withColumns({"_i": F.row_number().over(order(["block", "left"], "_l")), "_j": F.row_number().over(order(["block", "right"], "_r"))}).where("_i = 1 and _j = 1").drop("_i", "_j")
         won = written(won, "won")
-        taken = won if taken is None else taken.unionByName(won)
+        if n > rounds and won.isEmpty():
+            raise RuntimeError("the two orders run in a circle")
+        taken.append(won.drop("_l", "_r"))
         rest = left.join(won.select("block", "left"), ["block", "left"], "left_anti").join(won.select("block", "right"), ["block", "right"], "left_anti")
         rest = written(rest, "pairs")
         drop_written(left)
         left = rest
-    else:
-        raise RuntimeError(f"pairs are left after {max_rounds} rounds")
-    if taken is None:
-        taken = spark.createDataFrame([], ranked.schema)
-    return taken.drop("_l", "_r")
+    return reduce(DataFrame.unionByName, taken) if taken else spark.createDataFrame([], pairs.schema)
 
 
 def greedy(pairs: DataFrame, minimum: float) -> DataFrame:

@@ -136,7 +136,7 @@ def judged(listed: DataFrame, verdicts: DataFrame, by: list[str], least: float)
     return rows.withColumn("score", CONFIDENCE * F.col("confidence") + EVIDENCE * F.col("evidence"))
 
 
-def recovered(edges: DataFrame, by: list[str], inspect: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> tuple[DataFrame, dict[str, int]]:
+def recovered(edges: DataFrame, by: list[str], inspect: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, int]]:
     """The best assignment in which every pair was confirmed, and what it took: rounds, inspections, refusals.
 
     ``edges`` are ``(by, previous_id, current_id, score, ...)``. Each round assigns anew and gives the pairs that were not
@@ -156,7 +156,7 @@ def recovered(edges: DataFrame, by: list[str], inspect: Callable[[DataFrame], Da
         new = assigned if seen is None else assigned.join(seen, pair, "left_anti")
         asked = written(rows.join(new, pair, "left_semi"), "asked")
         n = asked.count()
-        if not n or (max_rounds is not None and took["rounds"] > max_rounds):
+        if not n:
             break
         said = inspect(asked.select(edges.columns)).where((F.col("verdict") == "confirmed") & (F.col("confidence") >= MIN_CONFIRMED))
         said = written(asked.join(said.select(*by, "previous_id", "current_id"), [*by, "previous_id", "current_id"], "left_semi").select(pair), "confirmed")

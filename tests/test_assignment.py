@@ -79,3 +79,21 @@ def test_one_large_component(spark):
     total = matching.optimal(frame, 0.35).agg(F.sum("score"), F.countDistinct("left"), F.count("*")).first()
     chosen = matching._assign(n, pair // n, pair % n, score)
     assert total[1] == total[2] and abs(total[0] - score[chosen].sum()) < 1e-6
+
+
+def test_long_chains_of_preferences(spark):
+    """Each row prefers the next one's partner: one pair a round, far more rounds than are made over all of Spark."""
+    rows = [("b", i, i + d, 1000.0 - 2 * i - d) for i in range(300) for d in (0, 1)]
+    r = random.Random(4)
+    rows += [(f"x{g}", a, b, s) for g in range(8) for a, b, s in _graph(r, 6, 0.6, [0.2, 0.5, 0.9])]
+    want = set()
+    for block in {x[0] for x in rows}:
+        left, right = set(), set()
+        for _, a, b, s in sorted((x for x in rows if x[0] == block), key=lambda x: (-x[3], x[1], x[2])):
+            if a not in left and b not in right:
+                want.add((block, a, b, s))
+                left.add(a)
+                right.add(b)
+    frame = spark.createDataFrame(rows, "block string, left int, right int, score double")
+    for rounds in (0, 2):
+        assert {tuple(x) for x in matching.one_to_one(frame, [F.col("score")], rounds=rounds).collect()} == want
