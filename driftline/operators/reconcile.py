@@ -55,14 +55,20 @@ def marked(found: DataFrame) -> DataFrame:
 def semantic_duplicates(changes: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Changes ``(id, embedding, ...)`` of equal type, decision and shape that are alike, with their group's least id.
 
-    Only changes with the same ``diff_type``, ``alignment_decision`` and sides present are compared.
+    Only changes with the same ``diff_type``, ``alignment_decision`` and sides present are compared. Equal vectors count as
+    one, so copies are compared once however many they are; the others meet tile by tile. A change without a vector is
+    alone.
     """
     shape = F.concat_ws("|", F.lower(blank(F.col("diff_type"))), F.lower(blank(F.col("alignment_decision"))), (F.trim(blank(F.col("source_text_t1"))) != "").cast("string"), (F.trim(blank(F.col("source_text_t2"))) != "").cast("string"))
-    rows = changes.select("id", shape.alias("shape"), "embedding")
-    a, b = rows.select("shape", F.col("id").alias("a"), F.col("embedding").alias("u")), rows.select("shape", F.col("id").alias("b"), F.col("embedding").alias("v"))
-    alike = a.join(b, "shape").where((F.col("a") < F.col("b")) & (cosine(F.col("u"), F.col("v"), 0.0, 1.0) >= threshold))
-    roots = connected(alike.select("a", "b"))
-    return rows.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("group"))
+    rows = written(changes.select("id", shape.alias("shape"), F.col("embedding").cast("array<double>").alias("embedding")), "shapes")
+    usable = rows.where(F.exists("embedding", lambda x: x != 0))
+    one = written(usable.groupBy("shape", "embedding").agg(F.min("id").alias("least")), "vectors")
+    sides = one.select(F.col("shape").alias("block"), F.explode(F.array(F.lit("previous"), F.lit("current"))).alias("side"), F.col("least").alias("chunk"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"))
+    sides = sides.withColumn("block", F.concat_ws("#", "block", "dim")).drop("dim")
+    alike = matching.vector_pairs(sides, threshold).where((F.col("left") < F.col("right")) & (F.col("score") >= threshold))
+    roots = connected(alike.select(F.col("left").alias("a"), F.col("right").alias("b"))).select(F.col("node").alias("least"), "root")
+    named = usable.join(one, ["shape", "embedding"]).join(roots, "least", "left").select("id", F.coalesce("root", "least").alias("_group"))
+    return rows.select("id").join(named, "id", "left").select("id", F.coalesce("_group", "id").alias("group"))
 
 
 def propagated(verdicts: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:
