@@ -25,3 +25,8 @@ def test_one_to_one(spark, sf_dir):
     for name in ("greedy_chunks", "optimal_chunks"):
         rows = reporting.QUERIES[name](spark, sf_dir).collect()
         assert len({(r["block"], r["left"]) for r in rows}) == len(rows) == len({(r["block"], r["right"]) for r in rows})
+
+
+def test_consensus_is_of_whole_labels(spark, sf_dir):
+    labels = [r["label"] for r in reporting.QUERIES["label_consensus"](spark, sf_dir).collect()]
+    assert labels and all(x.endswith("in retail store") for x in labels)
