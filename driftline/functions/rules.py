@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.similarity import sequence_ratio
+from driftline.functions.similarity import sequence_ratio_from
 from driftline.functions.text import blank, folded, let, squeezed
 
 Change = dict[str, Column]
@@ -149,7 +149,8 @@ def found(text: Column, pattern: str) -> Column:
 
 
 def _differ(a: Column, b: Column) -> Column:
-    return (F.size(F.array_except(a, b)) > 0) | (F.size(F.array_except(b, a)) > 0)
+    """Whether two arrays of distinct values hold others; each is named once, so its matches are found once."""
+    return F.sort_array(a) != F.sort_array(b)
 
 
 def _has(text: Column, needles: list[str]) -> Column:
@@ -174,11 +175,13 @@ def masked(text: Column) -> Column:
     return squeezed(F.regexp_replace(blank(text), "(?iu)" + VOLATILE, " "))
 
 
-def _alike(a: Column, b: Column, ask: Column) -> Column:
-    """Similarity of two texts without accents and case; not worked out where ``ask`` is false, 0 where one is empty."""
+def _alike(a: Column, b: Column, ask: Column, least: float) -> Column:
+    """Similarity of two texts without accents and case; not worked out where ``ask`` is false, 0 where one is empty.
+
+    Below ``least`` the value is only known to be smaller."""
     x, y = cosmetic_key(a), cosmetic_key(b)
     ask = ask & (x != "") & (y != "")
-    return F.when(ask, sequence_ratio(F.when(ask, x), F.when(ask, y))).otherwise(0.0)
+    return F.when(ask, sequence_ratio_from(F.when(ask, x), F.when(ask, y), least)).otherwise(0.0)
 
 
 def _dates_differ(a: Column, b: Column) -> Column:
@@ -190,7 +193,7 @@ def isolated_date_change(a: Column, b: Column, ask: Column | None = None) -> Col
     """Texts that are alike but for their dates."""
     bare = lambda t: F.regexp_replace(blank(t), rf"(?iu)\b(?:{DATE})\b", " ")
     differ = _dates_differ(a, b)
-    return differ & (_alike(bare(a), bare(b), differ if ask is None else differ & ask) >= SAME_UNDATED)
+    return differ & (_alike(bare(a), bare(b), differ if ask is None else differ & ask, SAME_UNDATED) >= SAME_UNDATED)
 
 
 def methodology_signal(a: Column, b: Column) -> Column:
@@ -232,14 +235,49 @@ def governance_protected(text: Column) -> Column:
     return blank(text).rlike(signal("governance")) | blank(text).rlike(signal("regulatory"))
 
 
-def cosmetic_exclusion(change: Change) -> Column:
-    """Why a change is plainly cosmetic: deplacement_texte, formatage_visuel or reformulation_mineure; null if it is not."""
+def with_exclusions(rows: DataFrame, change: Change, cosmetic: str = "cosmetic", bank: str = "bank") -> DataFrame:
+    """Rows with both exclusions. What both ask, and the texts to compare, are columns of their own first: the engine would
+    else find the same matches anew for every place at which a rule names them."""
+    a, b, combined = _text(change, "t1"), _text(change, "t2"), combined_text(change)
+    of = lambda name: F.col(f"_x_{name}")
+    known = {
+        "numbers": _differ(found(a, NUMERIC_TOKEN), found(b, NUMERIC_TOKEN)),
+        "dates": _dates_differ(a, b),
+        "operation": combined.rlike(signal("operation")),
+        "masked_a": masked(a),
+        "masked_b": masked(b),
+    }
+    out = rows.withColumns({f"_x_{n}": c for n, c in known.items()})
+    asked = {"open": _open(change, of("numbers") if _sourced(change) else None), "compare": _filled(a) & _filled(b) & ~of("operation")}
+    out = out.withColumns({f"_x_{n}": c for n, c in asked.items()})
+    facts = {n: of(n) for n in (*known, *asked)}
+    out = out.withColumns({cosmetic: cosmetic_exclusion(change, facts), bank: bank_exclusion(change, facts)})
+    return out.drop(*(f"_x_{n}" for n in facts))
+
+
+def _sourced(change: Change) -> bool:
+    """Whether there are no other texts than the sources, so that both exclusions are about the same."""
+    return "semantic_text_t1" not in change and "semantic_text_t2" not in change
+
+
+def _open(change: Change, numbers: Column | None = None) -> Column:
+    """Whether both texts are there and hold the same numbers and references."""
     a, b = blank(_get(change, "source_text_t1")), blank(_get(change, "source_text_t2"))
-    same_facts = ~_differ(found(a, NUMERIC_TOKEN), found(b, NUMERIC_TOKEN)) & ~_differ(found(a, signal("reference")), found(b, signal("reference")))
-    open_ = _lower(change, "diff_type").isin("modified", "unchanged") & _filled(a) & _filled(b) & same_facts
+    if numbers is None:
+        numbers = _differ(found(a, NUMERIC_TOKEN), found(b, NUMERIC_TOKEN))
+    same_facts = ~numbers & ~_differ(found(a, signal("reference")), found(b, signal("reference")))
+    return _lower(change, "diff_type").isin("modified", "unchanged") & _filled(a) & _filled(b) & same_facts
+
+
+def cosmetic_exclusion(change: Change, facts: Change | None = None) -> Column:
+    """Why a change is plainly cosmetic: deplacement_texte, formatage_visuel or reformulation_mineure; null if it is not.
+
+    ``facts`` are those of ``with_exclusions``, where they are known."""
+    a, b = blank(_get(change, "source_text_t1")), blank(_get(change, "source_text_t2"))
+    open_ = facts["open"] if facts else _open(change)
     compact = lambda t: F.regexp_replace(cosmetic_key(t), r"(?U)[^\w]+", "")
     protected = F.concat(a, F.lit(" "), b).rlike(signal("governance"))
-    alike = _alike(a, b, open_ & ~protected)
+    alike = _alike(a, b, open_ & ~protected, COSMETIC)
     return (
         F.when(_lower(change, "alignment_decision") == "moved_text", "deplacement_texte")
         .when(~open_, F.lit(None).cast("string"))
@@ -250,15 +288,18 @@ def cosmetic_exclusion(change: Change) -> Column:
     )
 
 
-def bank_exclusion(change: Change) -> Column:
-    """Why a change is the bank's own business: an operation, a calendar update or numbers; null if it is not."""
+def bank_exclusion(change: Change, facts: Change | None = None) -> Column:
+    """Why a change is the bank's own business: an operation, a calendar update or numbers; null if it is not.
+
+    ``facts`` are those of ``with_exclusions``, where they are known."""
     a, b, combined = _text(change, "t1"), _text(change, "t2"), combined_text(change)
+    facts = facts or {}
     both = _filled(a) & _filled(b)
-    operation = combined.rlike(signal("operation"))
+    operation = facts.get("operation", combined.rlike(signal("operation")))
     changed = _lower(change, "diff_type").isin("modified", "unchanged") & both
-    x, y = masked(a), masked(b)
-    alike = _alike(x, y, both & ~operation)
-    numbers, dates = _differ(found(a, NUMERIC_TOKEN), found(b, NUMERIC_TOKEN)), _dates_differ(a, b)
+    x, y = facts.get("masked_a", masked(a)), facts.get("masked_b", masked(b))
+    alike = _alike(x, y, facts.get("compare", both & ~operation), NOISE)
+    numbers, dates = facts.get("numbers", _differ(found(a, NUMERIC_TOKEN), found(b, NUMERIC_TOKEN))), facts.get("dates", _dates_differ(a, b))
     method, regime, put_off = methodology_signal(a, b), new_calendar_regime(a, b), calendar_reschedule(a, b, combined)
     none = F.lit(None).cast("string")
     noise = (alike >= NOISE) & (numbers | dates)
