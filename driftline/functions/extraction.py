@@ -5,10 +5,12 @@ Every function works on one row and stays in built-in expressions. Null labels a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftline.functions.text import blank, squeezed
+from driftline.functions.text import blank, let, squeezed
 
 # Titles of pages, names that tell no table from another, and what prose is known by.
 PAGE_TITLES = ["rapport de gestion", "management's discussion and analysis", "management discussion and analysis", "rapport annuel", "shareholders report", "rapport aux actionnaires"]
@@ -34,16 +36,23 @@ def period_like(label: Column) -> Column:
 
 def weak(label: Column) -> Column:
     """A label that names no row in particular, or a period."""
-    s = signal(label)
-    words = F.split(s, " ")
-    return s.isin(WEAK) | ((F.size(words) <= 3) & F.forall(words, lambda w: w.isin(WEAK_WORDS))) | period_like(label)
+
+    def rule(s: Column) -> Column:
+        words = F.split(s, " ")
+        return s.isin(WEAK) | ((F.size(words) <= 3) & F.forall(words, lambda w: w.isin(WEAK_WORDS))) | period_like(s)
+
+    return let(signal(label), rule)
 
 
 def prose(label: Column) -> Column:
     """A label that reads like a sentence."""
-    s = signal(label)
-    has = lambda parts: F.exists(F.array(*map(F.lit, parts)), lambda p: s.contains(p))
-    return (s != "") & (has(PROSE) | s.endswith(".") | ((F.size(F.split(s, " ")) >= 6) & has(PROSE_WORDS)))
+
+    def rule(s: Column) -> Column:
+        has = lambda parts: reduce(lambda a, b: a | b, [s.contains(p) for p in parts])
+        return (s != "") & (has(PROSE) | s.endswith(".") | ((F.size(F.split(s, " ")) >= 6) & has(PROSE_WORDS)))
+
+    # Bound once: each part would else make the label's small letters anew.
+    return let(signal(label), rule)
 
 
 def _given(labels: Column) -> Column:

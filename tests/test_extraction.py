@@ -48,3 +48,8 @@ def test_counts_equal_plain(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(tables)], "i int, l array<string>")
     for row, labels in zip(frame.select("i", extraction.viable_rows(F.col("l")).alias("n")).orderBy("i").collect(), tables):
         assert row["n"] == sum(x not in weak and x not in prose and any(c.isalpha() for c in x) for x in labels)
+
+
+def test_small_letters_of_a_label_are_made_once(spark):
+    rule = spark.range(1).select(extraction.prose(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert rule.count("regexp_replace(") == 1
