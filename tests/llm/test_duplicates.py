@@ -256,3 +256,42 @@ def test_queries_are_whole(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op1_ngram_jaccard", "op2_line_dedup"):
         assert QUERIES[name](spark, sf_dir).count() == n
+
+
+def join_rows(df, key):
+    """Rows that the joins on ``key`` make when ``df`` runs."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            if "Join" in name and key in node.simpleString(100):
+                total += node.metrics().apply("numOutputRows").value()
+            children = node.children().iterator()
+            while children.hasNext():
+                todo.append(children.next())
+    return total
+
+
+def test_lines_of_a_block_make_no_pairs_unless_similar(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    base = [f"common{i}" for i in range(60)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for i in r.choice(60, 7, replace=False):
+            words[i] = f"own{k}x{i}"
+        texts.append(" ".join(words))
+    same = lambda a, b: sum(x == y for x, y in zip(a.split(), b.split()))
+    similar = sum(same(a, b) >= 48 for i, a in enumerate(texts) for b in texts[:i])
+    made, write = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name, *codec: made.append(join_rows(df, "slice")) or write(df, name, *codec) if name in ("pairs", "links") else write(df, name, *codec))
+    rows = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = unions(60, [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if same(a, b) >= 48])
+    assert [x["n_dropped"] for x in sorted(rows)] == [int(w != i) for i, w in enumerate(want)]
+    assert sum(made) <= similar
