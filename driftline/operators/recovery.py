@@ -142,19 +142,19 @@ def recovered(edges: DataFrame, by: list[str], inspect: Callable[[DataFrame], Da
     ``edges`` are ``(by, previous_id, current_id, score, ...)``. Each round assigns anew and gives the pairs that were not
     yet seen to ``inspect``, which returns ``(by, previous_id, current_id, verdict, confidence)``; a pair is confirmed if
     the verdict says so with enough confidence, and refused otherwise, also without a row. Refused pairs are left out from
-    then on, until a round refuses none. Only pairs that an assignment proposes are ever inspected. Every round but the
+    then on, until a round refuses none. Blocks are assigned independently: one without a refusal keeps its assignment, and
+    a round works on the others alone. Only pairs that an assignment proposes are ever inspected. Every round but the
     last refuses a pair for good, so the loop ends.
     """
     pair = ["block", "left", "right"]
     block = F.to_json(F.struct(*by)) if by else F.lit("")
-    rows = written(edges.withColumns({"block": block, "left": F.col("current_id"), "right": F.col("previous_id")}), "edges")
-    left, seen = rows.select(*pair, "score"), None
+    left = written(edges.withColumns({"block": block, "left": F.col("current_id"), "right": F.col("previous_id")}), "edges")
+    kept, seen = [], None
     took = {"rounds": 0, "inspected": 0, "refused": 0}
     while True:
         took["rounds"] += 1
-        assigned = written(optimal(left, 0.0).select(pair), "assigned")
-        new = assigned if seen is None else assigned.join(seen, pair, "left_anti")
-        asked = written(rows.join(new, pair, "left_semi"), "asked")
+        assigned = written(left.join(optimal(left.select(*pair, "score"), 0.0).select(pair), pair, "left_semi"), "assigned")
+        asked = assigned if seen is None else written(assigned.join(seen, pair, "left_anti"), "asked")
         n = asked.count()
         if not n:
             break
@@ -163,11 +163,13 @@ def recovered(edges: DataFrame, by: list[str], inspect: Callable[[DataFrame], Da
         refused = written(asked.select(pair).join(said, pair, "left_anti"), "refused")
         bad = refused.count()
         took["inspected"], took["refused"] = took["inspected"] + n, took["refused"] + bad
-        seen = said if seen is None else seen.unionByName(said)
         if not bad:
             break
-        left = written(left.join(refused, pair, "left_anti"), "edges")
-    return rows.join(assigned, pair, "left_semi").select(edges.columns), took
+        again = refused.select("block").distinct()
+        kept.append(assigned.join(again, "block", "left_anti"))
+        seen = written((said if seen is None else seen.unionByName(said)).join(again, "block", "left_semi"), "seen")
+        left = written(left.join(again, "block", "left_semi").join(refused, pair, "left_anti"), "edges")
+    return reduce(DataFrame.unionByName, [*kept, assigned]).select(edges.columns), took
 
 
 def decisions(current: DataFrame, matched: DataFrame, by: list[str]) -> DataFrame:

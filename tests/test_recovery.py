@@ -73,3 +73,13 @@ def test_loop_ends_with_confirmed_pairs(spark):
     assert took["inspected"] == sum(map(len, asked)) == len(set().union(*asked)) and took["refused"] == len(set().union(*asked) - good) > 0
     none = recovery.recovered(edges.limit(0), ["bank"], inspect)
     assert none[0].count() == 0 and none[1]["rounds"] == 1
+
+
+def test_only_blocks_with_refusals_are_assigned_again(spark, monkeypatch):
+    edges = spark.createDataFrame([("x", "p1", "c1", 0.9), ("y", "p1", "c1", 0.9), ("y", "p2", "c1", 0.8)], "bank string, previous_id string, current_id string, score double")
+    worked, assign = [], recovery.optimal
+    monkeypatch.setattr(recovery, "optimal", lambda pairs, least: worked.append(pairs.count()) or assign(pairs, least))
+    bad = (F.col("bank") == "y") & (F.col("previous_id") == "p1")
+    found, took = recovery.recovered(edges, ["bank"], lambda pairs: pairs.select("bank", "previous_id", "current_id", F.when(bad, "rejected").otherwise("confirmed").alias("verdict"), F.lit(0.9).alias("confidence")))
+    assert sorted((f["bank"], f["previous_id"]) for f in found.collect()) == [("x", "p1"), ("y", "p2")]
+    assert worked == [3, 1] and took == {"rounds": 2, "inspected": 3, "refused": 1}
