@@ -295,3 +295,17 @@ def test_lines_of_a_block_make_no_pairs_unless_similar(spark, monkeypatch):
     want = unions(60, [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if same(a, b) >= 48])
     assert [x["n_dropped"] for x in sorted(rows)] == [int(w != i) for i, w in enumerate(want)]
     assert sum(made) <= similar
+
+
+def test_sketches_of_the_next_scale_only_where_a_similar_line_may_have_it(spark):
+    rng = np.random.default_rng(6)
+    found = {}
+    for n in (20, 100, 101, 103, 127, 128, 203, 206):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        df = spark.createDataFrame([(words,)], "w array<string>").select(lines._sketches(lines.codes_of(F.col("w")), 0.8).alias("s"))
+        found[n] = df.first()["s"]["c0"] is not None
+    assert found == {20: False, 100: False, 101: False, 103: True, 127: True, 128: False, 203: False, 206: True}
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 128)]
+    pairs = [(1, " ".join(base)), (2, " ".join(base[:103])), (3, "x y z " + " ".join(base[:99]))]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.deduplicated(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}  # 103 of 128 words are similar to them over two scales; the third to the second

@@ -1,6 +1,8 @@
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.sources import reports
 
@@ -37,3 +39,19 @@ def test_markdown_and_sinks(spark, tmp_path):
     assert [r["expected_match"] for r in reports.read_gold(spark, str(tmp_path / "gold.csv"), "expected_match").collect()] == [True, False]
     reports.write_partitioned(rows.select("text", "section"), str(tmp_path / "out"), ["section"])
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """The shuffles that made a table go with the query; what the session is set to stays."""
+    from driftline.sources import scratch
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    df = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    assert len(scratch.written(df, "groups").collect()) == 7
+    for _ in range(50):  # files go in the background
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
