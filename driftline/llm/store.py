@@ -74,6 +74,14 @@ def _mix(x: np.ndarray, seed) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _free(slots: np.ndarray, taken: np.ndarray) -> int | None:
+    """The first column of ``slots`` whose slots are all free and differ from one another."""
+    for k in np.flatnonzero(~np.logical_or.reduce(taken[slots], 0)).tolist():
+        if len(slots) == 1 or len(set(slots[:, k].tolist())) == len(slots):
+            return k
+    return None
+
+
 def minimal_hash(keys: np.ndarray) -> np.ndarray:
     """Seeds of the groups, by which _slot() maps the distinct uint64 ``keys`` one to one onto 0..n-1.
 
@@ -85,24 +93,25 @@ def minimal_hash(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(group, kind="stable")
     bounds = np.searchsorted(group[order], np.arange(n_groups + 1))
     seeds, taken = np.zeros(n_groups, "<u4"), np.zeros(n, bool)
-    tries = np.arange(1, 65, dtype=np.uint64)
-    for g in np.argsort(bounds[:-1] - bounds[1:], kind="stable"):
-        own = keys[order[bounds[g] : bounds[g + 1]]]
-        if not len(own):
-            break
-        at = np.uint64(0)
-        while True:
-            slots = (_mix(own[:, None], (tries + at)[None, :]) % np.uint64(n)).astype(np.int64)
-            good = ~taken[slots].any(0)
-            if len(own) > 1:
-                srt = np.sort(slots, 0)
-                good &= (srt[1:] != srt[:-1]).all(0)
-            hit = np.flatnonzero(good)
-            if len(hit):
-                seeds[g] = int(tries[hit[0]] + at)
-                taken[slots[:, hit[0]]] = True
-                break
-            at += np.uint64(64)
+    tries, more = np.arange(1, 97, dtype=np.uint64), np.arange(1, 513, dtype=np.uint64)
+    sizes = np.diff(bounds)
+    by_size = np.argsort(-sizes, kind="stable")
+    by_size = by_size[: np.count_nonzero(sizes)]
+    # The first tries of many groups at once, one by one only what is free of them, and more tries for groups that found none.
+    for k in range(0, len(by_size), 1024):
+        some = by_size[k : k + 1024]
+        at = np.repeat(bounds[some] - np.cumsum(sizes[some]) + sizes[some], sizes[some]) + np.arange(sizes[some].sum())
+        first = _mix(keys[order[at]][:, None], tries[None, :]) % np.uint64(n)
+        columns, end = first.astype(np.int64), 0
+        for g in some.tolist():
+            own, begin = keys[order[bounds[g] : bounds[g + 1]]], end
+            end += len(own)
+            slots, before = columns[begin:end], 0
+            while (found := _free(slots, taken)) is None:
+                before += slots.shape[1]
+                slots = (_mix(own[:, None], (more + np.uint64(before))[None, :]) % np.uint64(n)).astype(np.int64)
+            seeds[g] = before + found + 1
+            taken[slots[:, found]] = True
     return seeds
 
 

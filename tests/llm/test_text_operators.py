@@ -225,3 +225,13 @@ def test_ablations_sum_up(spark, sf_dir):
     for r in quality.ablations(rows, "v2").collect():
         assert r["n_failed"] == sum(bool(b & r["bit"]) for b in bits)
         assert r["n_failed_alone"] == r["n_passed_without"] == sum(b & mask == r["bit"] for b in bits)
+
+
+def test_minimal_hash_tries_groups_together(monkeypatch):
+    """Slots of the first tries are worked out for many groups at once, not group by group."""
+    calls, mix = [], store._mix
+    monkeypatch.setattr(store, "_mix", lambda x, seed: calls.append(1) or mix(x, seed))
+    keys = np.random.default_rng(8).integers(0, 2**63, 256).astype(np.uint64)
+    seeds = store.minimal_hash(keys)
+    assert len(calls) < len(seeds)
+    assert sorted(store._slot(keys, seeds, len(keys))) == list(range(len(keys)))
