@@ -120,3 +120,15 @@ def test_subsections(spark):
     pairs = alignment.paired_subsections(alignment.subsections(df, ["d"], "t"), alignment.subsections(other, ["d"], "t"), ["d"])
     found = {(r["diff_type"], r["subsection_heading"]) for r in alignment.subsection_changes(pairs, ["d"]).collect()}
     assert found == {("removed", "__intro__"), ("removed", "Deux"), ("added", "Trois"), ("renamed", "Un [pdf.3] → UN")}
+
+
+def test_costly_rules_of_units_come_last(spark):
+    """Sentences are cut once for a verdict, words counted only behind a colon, texts cut only where they have marks."""
+    rule = str(chunks.needs_partition(F.col("t")))
+    assert rule.count("split(") == 1
+    context = str(predicates.list_context(F.col("t")))
+    assert context.index("endswith") < context.index("regexp_extract_all")
+    texts = ["Un deux trois quatre cinq :", "un deux :", "| a | b |\n| - | - |", "a | b", "|---|---|", None, "s.o.", "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.orderBy("i").select(predicates.list_context(F.col("t")).alias("c"), predicates.comparable(F.col("t")).alias("k")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, True), (False, False), (False, True), (False, False), (False, False), (False, False), (False, True)]
