@@ -33,8 +33,9 @@ def edges(nodes: DataFrame) -> DataFrame:
     side = F.when(F.col("side") == "t1", "previous").otherwise("current")
     rows = nodes.select(F.col("section").alias("block"), F.col("node").alias("chunk"), side.alias("side"), key.alias("key"), words.alias("named"), vector.alias("vector"))
     rows = written(rows, "nodes")
-    pairs = written(matching.overlap_pairs(rows.select("block", "side", "chunk", F.transform("named", lambda w: F.xxhash64(w)).alias("words")), MIN_OVERLAP), "pairs")
-    overlap = _held_first(pairs, rows).select("block", F.col("left").alias("a"), F.col("right").alias("b"), F.round("score", 4).alias("token_overlap"))
+    # Scores count as rounded, and the rounded one may be the least when the score is just below.
+    pairs = matching.overlap_pairs(rows.select("block", "side", "chunk", "key", F.transform("named", lambda w: F.xxhash64(w)).alias("words")), MIN_OVERLAP - 1e-4)
+    overlap = pairs.select("block", F.col("left").alias("a"), F.col("right").alias("b"), F.round("score", 4).alias("token_overlap"))
     if "embedding" not in nodes.columns:
         return overlap.where(F.col("token_overlap") >= MIN_OVERLAP).withColumns({"embedding_score": F.lit(0.0), "score": F.col("token_overlap")})
     near = matching.vector_pairs(rows.select("block", "side", "chunk", "vector"), MIN_EMBEDDING)
@@ -46,24 +47,6 @@ def edges(nodes: DataFrame) -> DataFrame:
     return out.where((F.col("token_overlap") >= MIN_OVERLAP) | (F.col("embedding_score") >= MIN_EMBEDDING)).withColumn("score", F.greatest("token_overlap", "embedding_score"))
 
 
-def _held_first(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Scores of ``overlap_pairs``, 1 where the compact key of one text holds that of the other.
-
-    Texts go only to the pairs of different keys that may hold each other, and of copies one pair is read.
-    """
-    keyed = rows.where("key <> ''").select("block", "side", "chunk", F.md5("key").alias("id"), "key")
-    of = lambda s, n: keyed.where(F.col("side") == s).select("block", F.col("chunk").alias(n), F.col("id").alias(f"{n}_id"))
-    asked = written(pairs.where("held").join(of("previous", "left"), ["block", "left"], "left").join(of("current", "right"), ["block", "right"], "left"), "asked")
-    apart = asked.where("left_id <> right_id").select("left_id", "right_id").distinct()
-    named = apart.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct()
-    text = keyed.join(named, "id", "left_semi").groupBy("id").agg(F.first("key").alias("key"))
-    met = apart.join(text.select(F.col("id").alias("left_id"), F.col("key").alias("a")), "left_id").join(text.select(F.col("id").alias("right_id"), F.col("key").alias("b")), "right_id")
-    holds = met.where(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))).select("left_id", "right_id", F.lit(True).alias("holds"))
-    judged = asked.join(holds, ["left_id", "right_id"], "left")
-    known = judged.select("block", "left", "right", F.when(F.col("holds") | (F.col("left_id") == F.col("right_id")), 1.0).otherwise(F.col("score")).alias("score"))
-    return pairs.where("not held").select("block", "left", "right", "score").unionByName(known)
-
-
 def marked(found: DataFrame) -> DataFrame:
     """Edges with ``strength``: strong, mutual_near_best (close to the best of both sides) or retrieval_only."""
     best = lambda side: F.max("score").over(Window.partitionBy("block", side))
